@@ -1,5 +1,8 @@
 """The session that tests, the bench and local runs share."""
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,6 +17,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         "spark.driver.memory": "6g",
         **conf,
     }
+    # Python workers find the package where this process found it.
+    here = str(Path(__file__).resolve().parents[1])
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
