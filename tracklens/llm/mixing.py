@@ -91,6 +91,16 @@ def mix(
     return dealt.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all columns. Rows
+    of one doc_id and size are taken alike (as often as the one that is taken most)."""
+    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
+    taken = mix(docs, weights, share, repeats, seed).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(copies).alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size"))
+    chosen = join_small(docs, written(taken, "mix-taken"), same, limit=1_000_000)
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 #: The same rows in DuckDB, over a view ``documents``.
 ORACLE_SQL = r"""
 WITH d AS (

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import written
@@ -108,7 +108,7 @@ def _texts(docs: DataFrame, window: int) -> DataFrame:
                 columns = [part.column(0), part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(anchors, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc_id", "n_words", "whole", "anchors"])
 
-    keyed = docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("tracklens"), "text").alias("k2"), F.col("doc_id").cast("long"), "text")
+    keyed = docs.select(*_keys(), F.col("doc_id").cast("long"), "text")
     return keyed.mapInArrow(run, "k1 long, k2 long, doc_id long, n_words long, whole string, anchors array<long>")
 
 
@@ -207,24 +207,12 @@ def covered_words(texts: list[np.ndarray], pieces: list[np.ndarray], window: int
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, keep: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if ``keep``, kept for every row of ``docs``
-    (doc_id, text): the text without the words covered by a window of ``window`` words that also
-    starts somewhere else, in the same text or another. ``kept`` joins what is left by one space.
+def _keys() -> list[Column]:
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("tracklens"), "text").alias("k2")]
 
-    1. Every window of words chooses its least phrase of eight words as anchor. Anchors are counted;
-       a window can recur only if its anchor does.
-    2. Windows with a recurring anchor are counted by a 128-bit hash; those that start twice are
-       confirmed. One text with a confirmed window owns it, and consecutive windows of an owner make
-       a passage.
-    3. Passages go, in pieces, to the shards of texts that have one of their anchors. Each shard
-       compiles them into an Aho-Corasick automaton and streams its texts through it; hits are
-       extended word by word, so that what is removed rests on equal words and not on hashes.
 
-    Equal texts are worked on once. Null, empty and shorter texts: nothing removed. Null and repeated
-    doc_ids keep their rows; a repeated row is a copy like any other. An empty table gives none.
-    Other columns of ``docs`` are ignored.
-    """
+def _located(docs: DataFrame, window: int, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with keys and digests, and what each text with repeats loses."""
     if window < 2 * ANCHOR:
         raise ValueError(f"a window has at least {2 * ANCHOR} words")
     rows = written(_texts(docs, window), "texts")
@@ -235,7 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: bool = True) -> Data
     recurring = written(weighed.groupBy("anchor").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor"), "recurring-anchors")
     chosen = choices.select("k1", "k2", "copies", F.explode(F.array_distinct("anchors")).alias("anchor"))
     mine = chosen.join(recurring, "anchor").groupBy("k1", "k2").agg(F.first("copies").alias("copies"), F.collect_list("anchor").alias("anchors"))
-    keyed = docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("tracklens"), "text").alias("k2"), "text")
+    keyed = docs.select(*_keys(), "text")
     once = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = written(once.join(mine, ["k1", "k2"]), "repeating-texts")
 
@@ -265,11 +253,37 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: bool = True) -> Data
 
     found = texts.select(shard, "k1", "k2", "text").groupBy("shard").cogroup(patterns.groupBy("shard"))
     found = written(found.applyInPandas(locate, "k1 long, k2 long, n_removed long, sha string, left string"), "located").where("n_removed > 0")
-    columns = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256")]
-    if not keep:
-        return rows.drop("anchors").join(found, ["k1", "k2"], "left").select(*columns)
-    # Texts that lose nothing keep their words as they are, joined by one space.
-    spaced = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    whole = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("tracklens"), "text").alias("k2"), F.coalesce(spaced, F.lit("")).alias("spaced"))
-    digests = rows.groupBy("k1", "k2").agg(F.first("n_words").alias("n_words"), F.first("whole").alias("whole"))
-    return whole.join(digests, ["k1", "k2"]).join(found, ["k1", "k2"], "left").select(*columns, F.coalesce("left", "spaced").alias("kept"))
+    return rows, found
+
+
+def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs`` (doc_id, text).
+
+    Removed are the words covered by a window of ``window`` words that also starts somewhere else,
+    in the same text or another; kept_sha256 digests the other words, joined by one space.
+
+    1. Every window of words chooses its least phrase of eight words as anchor. Anchors are counted;
+       a window can recur only if its anchor does.
+    2. Windows with a recurring anchor are counted by a 128-bit hash; those that start twice are
+       confirmed. One text with a confirmed window owns it, and consecutive windows of an owner make
+       a passage.
+    3. Passages go, in pieces, to the shards of texts that have one of their anchors. Each shard
+       compiles them into an Aho-Corasick automaton and streams its texts through it; hits are
+       extended word by word, so that what is removed rests on equal words and not on hashes.
+
+    Equal texts are worked on once. Null, empty and shorter texts: nothing removed. Null and repeated
+    doc_ids keep their rows; a repeated row is a copy like any other. An empty table gives none.
+    Other columns of ``docs`` are ignored.
+    """
+    rows, found = _located(docs, window, keep=False)
+    return rows.join(found, ["k1", "k2"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """``docs`` with all its rows and columns, and texts without their repeated windows (see
+    remove_repeats): what is left is joined by one space. Texts that lose nothing stay as they are."""
+    _, found = _located(docs, window, keep=True)
+    found = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("left").alias("_left"))
+    k1, k2 = _keys()
+    joined = docs.join(found, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
+    return joined.select(*[F.coalesce("_left", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])

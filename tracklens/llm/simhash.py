@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import written
+from tracklens.llm.common import join_small, written
 from tracklens.llm.graph import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -109,3 +109,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """``docs`` without the documents whose component (see near_duplicates) has a smaller doc_id.
+    Rows without a doc_id go only where their component has a document with one; rows that repeat
+    a kept doc_id are that document and stay."""
+    named = near_duplicates(docs, shingle, distance).where("component_id IS NOT NULL AND NOT doc_id <=> component_id")
+    gone = written(named.select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
+    return join_small(docs, gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti", limit=1_000_000)
