@@ -23,7 +23,7 @@ ANCHOR = 8
 #: Windows of a passage that travel as one piece (with the words that they cover).
 PIECE = 128
 #: Texts whose recurring passages are looked up with one automaton.
-SHARD_TEXTS = 500
+SHARD_TEXTS = 2500
 
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, (2, 257), dtype=np.uint64)
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
