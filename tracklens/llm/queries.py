@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklens.llm import mixing, phrases, pieces, pivots, sharding, simhash, toxicity
+from tracklens.llm import fixity, images, mixing, phrases, pieces, pivots, rollups, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.page_audit(table(spark, sf_dir, "pages"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -38,10 +42,20 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rollups.maintained(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), "byte_bpe_50k")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model(), keep=False)
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(images.drawn(table(spark, sf_dir, "pages")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -50,11 +64,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
     "op4_substrings": op4_substrings,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_warc": fixity.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
