@@ -4,5 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklens.operators import catalogue, evaluation, feedback, vectors
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+for _family in (feedback, catalogue, vectors, evaluation):
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
