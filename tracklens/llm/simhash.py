@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 def segments(distance: int) -> list[tuple[int, int]]:
     """(first bit, width) of the pieces of 64 bits of which one differs in at most one bit when two
     fingerprints differ in at most ``distance``."""
-    count = max(1, distance // 2 + 1)
+    count = max(2, distance // 2 + 1)
     edges = np.linspace(0, 64, count + 1).round().astype(int).tolist()
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
