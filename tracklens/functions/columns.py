@@ -27,7 +27,8 @@ def age_days(ts: Column, now: Column) -> Column:
 
 def decay(ts: Column, now: Column, half_life: float = HALF_LIFE_DAYS) -> Column:
     """0.5 after each half-life, 1 for the future, 0 for no time."""
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(age_days(ts, now), F.lit(0.0)) / half_life), F.lit(0.0))
+    age = age_days(ts, now)
+    return F.when(age.isNull(), 0.0).otherwise(F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / half_life))
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
