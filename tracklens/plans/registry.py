@@ -4,11 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklens.operators import catalogue, evaluation, feedback, stations, vectors
+from tracklens.operators import catalogue, evaluation, feedback, personas, stations, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _family in (feedback, catalogue, vectors, evaluation, stations):
+for _family in (feedback, catalogue, vectors, evaluation, stations, personas):
     QUERIES |= _family.QUERIES
     ORACLES |= _family.ORACLES
