@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import join_small, written
+from tracklens.llm.copies import near_copies, text_class
 
 #: Letters of the language model: a-z, any other letter, and the edge of a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -162,7 +162,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from ``docs`` (doc_id, text), all of them for the letter model, and ``labels`` (doc_id,
     toxic) of the rows where crc32(doc_id) mod 5 is not 0, of which about ``fit_rows`` at most are
-    drawn by a hash of doc_id. A doc_id with several labels counts with each."""
+    drawn by a hash of doc_id. A doc_id with several labels counts with each. Equal texts of one label, and
+    near copies (see copies.near_copies), count once; all other texts that were drawn count."""
     counts = letter_counts(docs)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold != 0).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -171,13 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     drawn = join_small(docs.select("doc_id", "text"), known, F.col("doc_id") == F.col("_id"), limit=2 * fit_rows).select("toxic", "text")
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [min((crc32(w.encode()) for w in WORD.findall(t.as_py() or "") if len(w) > 5), default=0) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["toxic", "text", "sketch"])
-
-    # Copies and near copies would make any word of theirs look telling: one row of each sketch is enough.
-    drawn = written(drawn.mapInArrow(sketched, "toxic int, text string, sketch long").groupBy("toxic", "sketch").agg(F.min("text").alias("text")), "fit-rows")
+    # Copies and near copies would make any word of theirs look telling: of equal texts and verified near
+    # copies of one label one row counts, and every other text counts as itself.
+    drawn = written(drawn.withColumn("cls", text_class(F.col("text"))).groupBy("toxic", "cls").agg(F.min("text").alias("text")), "labelled-texts")
+    near = near_copies(drawn).withColumnRenamed("cls", "_cls")
+    grouped = drawn.join(near, F.col("cls") == F.col("_cls"), "left").groupBy("toxic", F.coalesce("component", "cls").alias("group"))
+    drawn = written(grouped.agg(F.min("text").alias("text")), "fit-rows")
 
     def counted(toxic: bool, wanted: set[str] | None, known: set[str]) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
