@@ -21,13 +21,19 @@ from tracklens.llm.copies import near_copies, text_class
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER, EDGE, SYMBOLS = 26, 27, 28
 #: Letters that a sign may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "#": "h"}
 #: Log probabilities of the channel: a letter written as a sign, a sign or separator put in, a letter
 #: repeated (as one of three or more, or of two), an edge between words that are spaced out.
 AS_SIGN, PUT_IN, SEPARATOR, REPEATED, DOUBLED, NEW_WORD = -1.0, -9.0, -0.3, -0.5, -4.0, -3.0
+#: The same of a sign at either end of a token that is punctuation there: exclamation marks, other signs.
+EXCLAIMED, AT_END = -0.3, -5.0
+END_SIGNS = "".join(c for c in LEET if not c.isdigit())
+#: Punctuation that stands for no letter, taken off before decoding; # leads a tag and ends nothing.
+OUTSIDE = ".,;:?\"')[]{}<>%&*=/\\~^`-_"
 
 SPACED = re.compile(r"(?<!\S)[\w@$!|+]([ ._*-])[\w@$!|+](?:\1[\w@$!|+])+(?!\S)")
-THRICE = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
+TWICE = re.compile(r"([^\W\d_])\1", re.IGNORECASE)
+CLOSED = re.compile(r"(?<!\S)\(([^()]*)\)")
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows from which words are learnt, at most about so many (drawn by a hash of doc_id).
 FIT_ROWS = 40_000
@@ -63,7 +69,8 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
 class Decoder:
     """Viterbi decoding of obfuscated words under a letter trigram model."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, known: frozenset[str] = frozenset()):
+        self.known = known
         smooth = counts + 0.05 * (counts.sum(axis=0, keepdims=True) + 1) / (counts.sum(axis=(0, 1)).sum() + SYMBOLS)
         smooth = smooth + 1e-3
         self.model = np.log(smooth / smooth.sum(axis=2, keepdims=True)).tolist()
@@ -72,11 +79,13 @@ class Decoder:
     def decode(self, span: str) -> str:
         """The likeliest letters behind ``span``: signs become letters, separators and repetitions go.
 
-        A state is the last two symbols; each character of the span adds a column to the lattice.
+        A state is the last two symbols; each character of the span adds a column to the lattice. Signs
+        at the ends may be letters or punctuation; in a span of signs only, all but ! are letters.
         """
         text, model = span.lower(), self.model
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(EDGE, EDGE, ""): (0.0, None)}
-        run = 0
+        run, head, tail = 0, len(text) - len(text.lstrip(END_SIGNS)), len(text.rstrip(END_SIGNS))
+        outside = PUT_IN if head > tail else AT_END
         for i, char in enumerate(text):
             run = run + 1 if i and text[i - 1] == char else 1
             thrice = run >= 3 or text[i + 1 : i + 3] == char * 2 or text[i - 1 : i] == char == text[i + 1 : i + 2]
@@ -87,6 +96,8 @@ class Decoder:
                 options, drop = [(OTHER, char, 0.0)], None
             elif char in LEET:
                 options, drop = [(ord(c) - 97, c, AS_SIGN) for c in LEET[char]], PUT_IN
+                if i < head or i >= tail:
+                    drop = EXCLAIMED if char == "!" else outside
             else:
                 options, drop = [(EDGE, " ", NEW_WORD)], SEPARATOR
             column: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
@@ -114,16 +125,20 @@ class Decoder:
 
     def restore(self, text: str) -> str:
         """``text`` with its obfuscated spans decoded: spaced-out letters, words with signs for
-        letters or separators inside, and words with a letter three times in a row."""
+        letters or separators at any place, tokens of signs and digits only, and words with a letter
+        twice or more in a row, unless the word is known. A bracket that is closed further on is
+        punctuation."""
         if " " in text or "." in text or "-" in text or "_" in text or "*" in text:
             text = SPACED.sub(lambda m: self.word(m[0]), text)
+        if ")" in text:
+            text = CLOSED.sub(r" \1 ", text)
         odd = {}
         for token in set(text.split()):
-            if token.isalpha() and not THRICE.search(token):
+            if token.isalpha() and not TWICE.search(token):
                 continue
-            left = len(token) - len(token.lstrip(".,;:?\"'()[]{}<>#%&*=/\\~^`-_"))
-            core = token[left:].rstrip(".,;:?\"'()[]{}<>#%&*=/\\~^`-_!$|+")
-            if not core or not any(map(str.isalpha, core)) or (core.isalpha() and not THRICE.search(core)):
+            left = len(token) - len(token.lstrip(OUTSIDE + "#" if any(map(str.isalpha, token)) else OUTSIDE))
+            core = token[left:].rstrip(OUTSIDE)
+            if not core or (core.isalpha() and (not TWICE.search(core) or core.lower() in self.known)):
                 continue
             odd[token] = token[:left] + self.word(core) + token[left + len(core) :]
         if not odd:
@@ -148,11 +163,12 @@ class Model:
     counts: np.ndarray
     shares: dict[str, float]
     base: float
+    known: frozenset[str] = frozenset()
     _decoder: Decoder | None = field(default=None, repr=False)
 
     def score(self, text: str | None) -> float:
         if self._decoder is None:
-            self._decoder = Decoder(self.counts)
+            self._decoder = Decoder(self.counts, self.known)
         clean = 1 - self.base
         for f in features(self._decoder.restore(text or "")) & self.shares.keys():
             clean *= 1 - self.shares[f]
@@ -179,9 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     grouped = drawn.join(near, F.col("cls") == F.col("_cls"), "left").groupBy("toxic", F.coalesce("component", "cls").alias("group"))
     drawn = written(grouped.agg(F.min("text").alias("text")), "fit-rows")
 
+    # Words with a letter twice in a row that several rows hold are spelt so.
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
+    doubled = drawn.select(words.alias("word")).where(F.col("word").rlike(r"(\p{L})\1") & ~F.col("word").rlike(r"(\p{L})\1\1"))
+    known_words = frozenset(r["word"] for r in doubled.groupBy("word").count().where("count >= 3").select("word").collect())  # bounded by fit_rows
+
     def counted(toxic: bool, wanted: set[str] | None, known: set[str]) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            decoder, found, seen = Decoder(counts), Counter(), 0
+            decoder, found, seen = Decoder(counts, known_words), Counter(), 0
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     own = features(decoder.restore(text or ""))
@@ -209,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
             gain = 2 * (a * np.log(a / n / base) + (n - a) * np.log(max(n - a, 1e-9) / n / (1 - base)))
             if a >= support * all_toxic and part >= 0.85 and gain >= 25 and (base < rate or not name.endswith("-")):
                 shares[name] = float(min(part, 0.999))
-    return Model(counts, shares, float(min(0.05, base)))
+    return Model(counts, shares, float(min(0.05, base)), known_words)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
