@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tracklens.operators.catalogue import CALIBRATED, calibrated_ratings
 from tracklens.operators.feedback import PERCENTILE, play_percentile
-from tracklens.operators.vectors import NEAREST, nearest
+from tracklens.operators.vectors import NEAREST, nearest, neighbours, vectors
 
 
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each vector is a neighbour of those asked for, and its greatest similarity as one."""
+    """How often each vector is a neighbour of those that ``nearest`` asks for, a tenth of all, and its
+    greatest similarity as one; neighbour_graph_degrees is over the whole graph."""
     found = nearest(spark, sf_dir)
     return found.groupBy("neighbour").agg(F.count("*").alias("degree"), F.max("similarity").alias("similarity"))
 
@@ -19,6 +20,24 @@ def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEGREES = f"SELECT neighbour, count(*) AS degree, max(similarity) AS similarity FROM ({NEAREST}) GROUP BY neighbour"
 
 
+def degrees(rows: DataFrame, k: int) -> DataFrame:
+    """vec_id, degree for every row of ``rows`` (vec_id, v): how many of all the vectors have it among
+    their ``k`` nearest; 0 where none has."""
+    found = neighbours(rows, rows, k).groupBy(F.col("neighbour").alias("_n")).agg(F.count("*").alias("degree"))
+    return rows.join(found, F.col("vec_id") == F.col("_n"), "left").select("vec_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def neighbour_graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-degrees over the whole graph of the 5 nearest neighbours of all vectors."""
+    return degrees(vectors(spark, sf_dir).select("vec_id", "v"), 5)
+
+
+GRAPH_DEGREES = """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM n a JOIN n b ON a.vec_id != b.vec_id),
+g AS (SELECT neighbour FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) <= 5)
+SELECT n.vec_id, count(g.neighbour) AS degree FROM n LEFT JOIN g ON g.neighbour = n.vec_id GROUP BY n.vec_id"""
+
+
 def hidden_gems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks among the least played third with a mean rating of at least 3."""
     rated = calibrated_ratings(spark, sf_dir).select(F.col("l_partkey").alias("track"), F.round((F.col("e") + F.col("m") + F.col("c")) / 3.0, 6).alias("rating"))
@@ -49,5 +68,5 @@ SEEDS = f"""WITH r AS ({CALIBRATED}), s AS (SELECT mood, l_partkey AS track, ((e
 SELECT mood, CAST(row_number() OVER (PARTITION BY mood ORDER BY distance, track) AS INTEGER) AS place, track, distance FROM s QUALIFY place <= 10"""
 
 
-QUERIES = {"graph_degrees": graph_degrees, "hidden_gems": hidden_gems, "mood_seeds": mood_seeds}
-ORACLES = {"graph_degrees": DEGREES, "hidden_gems": GEMS, "mood_seeds": SEEDS}
+QUERIES = {"graph_degrees": graph_degrees, "neighbour_graph_degrees": neighbour_graph_degrees, "hidden_gems": hidden_gems, "mood_seeds": mood_seeds}
+ORACLES = {"graph_degrees": DEGREES, "neighbour_graph_degrees": GRAPH_DEGREES, "hidden_gems": GEMS, "mood_seeds": SEEDS}
