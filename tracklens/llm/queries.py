@@ -45,7 +45,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return rollups.maintained(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), "byte_bpe_50k")
+    return rollups.maintained(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), "byte_bpe_50k", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ class Rollup:
 
     A batch is written to its own folder under a name that its id gives, and counts once Spark's
     commit marker is there. Committing an id again changes nothing: a job that is run again after
-    a failure can repeat all its commits. ``fold`` puts all batches into one; ids stay known.
+    a failure can repeat all its commits.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -108,9 +108,10 @@ class Rollup:
 def maintained(docs: DataFrame, ranks: str, tokenizer: str, revised: str | None = None) -> DataFrame:
     """source, lang, tokenizer, documents, tokens, chars of ``docs``, arrived at by deltas.
 
-    All rows are inserted; rows whose doc_id leaves 3 modulo 10 are deleted and put back with the
-    next batch; the last batch is committed twice. With ``revised``, the ranks of a second tokenizer,
-    its counts come in as a version of their own. The totals equal those of one count over all rows:
+    All rows are inserted, those whose doc_id leaves 7 modulo 10 with the first half of their text
+    and under another source, and these are revised and moved by the next batch, which has counts
+    before and after. Rows whose doc_id leaves 3 are deleted and put back; that batch is committed
+    twice. With ``revised``, the ranks of a second tokenizer, its counts come in as a version of their own. The totals equal those of one count over all rows:
     null sources and languages are groups of their own; null doc_ids, repeated rows and empty
     texts count as rows. An empty table has no groups.
     """
@@ -120,7 +121,12 @@ def maintained(docs: DataFrame, ranks: str, tokenizer: str, revised: str | None
     rows = written(token_counts(docs, ranks, tokenizer), "token-counts")
     none = rows.limit(0)
     turned = rows.where(F.coalesce(F.col("doc_id") % 10 == 3, F.lit(False)))
-    rollup.commit("inserts", deltas(none, rows))
+    changed = F.coalesce(F.col("doc_id").cast("long") % 10 == 7, F.lit(False))
+    half = F.expr("substring(text, 1, CAST(length(text) / 2 AS INT))")
+    drafts = docs.where(changed).withColumn("text", half).withColumn("source", F.concat(F.lit("draft-"), F.col("source").cast("string")))
+    before = written(token_counts(drafts, ranks, tokenizer), "draft-counts")
+    rollup.commit("inserts", deltas(none, rows.where(~changed).unionByName(before)))
+    rollup.commit("revisions", deltas(before, rows.where(changed)))
     rollup.commit("deletes", deltas(turned, none))
     rollup.commit("back", deltas(none, turned))
     rollup.commit("back", deltas(none, turned))
