@@ -3,85 +3,36 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import written
+from tracklens.llm.words import STEP, Words, mixed, slices, sliding, sums, words
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of an anchor phrase.
 ANCHOR = 8
 #: Windows of a passage that travel as one piece (with the words that they cover).
 PIECE = 128
-#: Texts whose recurring passages are looked up with one automaton.
-SHARD_TEXTS = 2500
+#: Bytes of texts whose recurring passages are looked up with one automaton.
+SHARD_BYTES = 2 << 20
 
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, (2, 257), dtype=np.uint64)
-_STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values.view(np.int64)))
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
-
-def _sums(values: np.ndarray, step: np.uint64, width: int) -> np.ndarray:
-    """Polynomial hash, modulo 2**64, of every ``width`` neighbouring values."""
-    out = values.copy()
-    done, power = 1, step
-    # Doubling: a span of 2n is two spans of n; the bits of ``width`` say which spans to join.
-    result, covered = np.zeros(0, dtype=np.uint64), 0
-    for bit in bin(width)[2:][::-1]:
-        if bit == "1":
-            if covered:
-                n = len(values) - covered - done + 1
-                result = result[:n] * power + out[covered : covered + n]
-            else:
-                result = out
-            covered += done
-        n = len(out) - done
-        out = out[:n] * power + out[done : done + n] if n > 0 else out[:0]
-        done, power = 2 * done, power * power
-    return _mixed(result)
-
-
-def word_hashes(words: list[str], lane: int) -> np.ndarray:
-    """A 64-bit hash of each word (UTF-8), computed over all bytes at once."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    values = _BYTE[lane][np.frombuffer(b"".join(raw), dtype=np.uint8)]
-    starts = np.cumsum(lengths) - lengths
-    inside = np.arange(len(values)) - np.repeat(starts, lengths)
-    longest = int(lengths.max())
-    powers = np.ones(longest, dtype=np.uint64)
-    powers[1:] = _STEP[lane]
-    powers = np.cumprod(powers)
-    return _mixed(np.add.reduceat(values * powers[inside], starts) + lengths.astype(np.uint64))
-
-
-def window_anchors(hashes: np.ndarray, window: int, anchor: int = ANCHOR) -> np.ndarray:
-    """For every window of words, the least hash among its phrases of ``anchor`` words: windows of
-    the same words have the same one."""
-    phrases = _sums(hashes, _STEP[0], anchor)
-    return sliding_window_view(phrases, window - anchor + 1).min(axis=1)
-
-
-def _longs(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "replace")).hexdigest()
+def _phrases(found: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts one after the other: a hash of each phrase of ANCHOR words, the least phrase of each
+    window, and which windows lie within one text."""
+    phrases = sums(found.hashes(0), STEP[0], ANCHOR)
+    least = sliding(phrases, window - ANCHOR + 1, np.minimum)
+    text = found.text_of
+    return phrases, least, text[: len(least)] == text[window - 1 :]
 
 
 def _texts(docs: DataFrame, window: int) -> DataFrame:
@@ -90,51 +41,62 @@ def _texts(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, digests, anchors = [], [], []
-                for text in part.column(3).to_pylist():
-                    words = WORDS.findall(text or "")
-                    counts.append(len(words))
-                    digests.append(_digest(words))
-                    if len(words) < window:
-                        anchors.append(None)
-                        continue
-                    phrases = _sums(word_hashes(words, 0), _STEP[0], ANCHOR)
-                    spans = sliding_window_view(phrases, window - ANCHOR + 1)
-                    places = np.unique(spans.argmin(axis=1) + np.arange(len(spans)))
-                    own, times = np.unique(phrases[places], return_counts=True)
-                    anchors.append(_longs(np.concatenate((own, own[times > 1]))))
-                columns = [part.column(0), part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(anchors, pa.list_(pa.int64()))]
+            for at, end in slices(batch.column(3)):
+                part = batch.slice(at, end - at)
+                found = words(part.column(3))
+                phrases, least, sound = _phrases(found, window)
+                least = np.where(sound, least, 0)
+                pad = np.zeros(window - ANCHOR, dtype=np.uint64)
+                # A phrase is chosen if it is the least of a window around it.
+                most = sliding(np.concatenate((pad, least, pad)), window - ANCHOR + 1, np.maximum)
+                places = np.flatnonzero((phrases == most[: len(phrases)]) & (phrases != 0)) if len(least) else np.zeros(0, dtype=np.int64)
+                text, anchor = found.text_of[places], phrases[places]
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+                # Of places with the same phrase, two say as much as more.
+                third = np.zeros(len(text), dtype=bool)
+                third[2:] = (text[2:] == text[:-2]) & (anchor[2:] == anchor[:-2])
+                text, anchor = text[~third], anchor[~third]
+                counts = np.diff(found.first)
+                digests = [hashlib.sha256(found.span(a, b)).hexdigest() for a, b in zip(found.first, found.first[1:], strict=False)]
+                columns = [part.column(0), part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), _lists(anchor, np.bincount(text, minlength=len(counts)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc_id", "n_words", "whole", "anchors"])
 
     keyed = docs.select(*_keys(), F.col("doc_id").cast("long"), "text")
     return keyed.mapInArrow(run, "k1 long, k2 long, doc_id long, n_words long, whole string, anchors array<long>")
 
 
+def _of_text(values: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Values that are equal only within the same text."""
+    return values ^ mixed(text.astype(np.uint64) + np.uint64(1))
+
+
+def _listed(column: pa.Array) -> np.ndarray:
+    """All values of a column of lists of longs, each bound to its row."""
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    return _of_text(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), row)
+
+
 def _windows(texts: DataFrame, window: int) -> DataFrame:
     """h1, h2, n, owner: the windows of ``texts`` whose anchor recurs. A text that stands for
     several rows counts its windows so often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = []
-                for k1, copies, text, anchors in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
-                    words = WORDS.findall(text)
-                    first = word_hashes(words, 0)
-                    near = np.isin(_longs(window_anchors(first, window)), np.array(anchors, dtype=np.int64))
-                    h1 = _sums(first, _STEP[0], window)[near]
-                    h2 = _sums(word_hashes(words, 1), _STEP[1], window)[near]
-                    found.append((h1, h2, np.full(len(h1), copies), np.full(len(h1), k1)))
-                h1, h2, n, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+            for at, end in slices(batch.column(2)):
+                part = batch.slice(at, end - at)
+                found = words(part.column(2))
+                _, least, sound = _phrases(found, window)
+                text = found.text_of[: len(least)]
+                near = np.flatnonzero(sound & np.isin(_of_text(least, text), _listed(part.column(3))))
+                h1, h2 = (sums(found.hashes(lane), STEP[lane], window)[near] for lane in (0, 1))
+                owner, n = (part.column(c).to_numpy()[text[near]] for c in (0, 1))
                 order = np.lexsort((owner, h2, h1))
                 h1, h2, n, owner = h1[order], h2[order], n[order], owner[order]
                 if len(h1):
                     edge = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
                     n, h1, h2, owner = np.add.reduceat(n, edge), h1[edge], h2[edge], owner[edge]
-                yield pa.RecordBatch.from_arrays([pa.array(_longs(h1)), pa.array(_longs(h2)), pa.array(n.astype(np.int64)), pa.array(owner.astype(np.int64))], names=["h1", "h2", "n", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(owner.astype(np.int64))], names=["h1", "h2", "n", "owner"])
 
     return texts.select("k1", "copies", "text", "anchors").mapInArrow(run, "h1 long, h2 long, n long, owner long")
 
@@ -145,66 +107,86 @@ def _pieces(owners: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                passages, anchors = [], []
-                for text, windows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = WORDS.findall(text)
-                    hashes = word_hashes(words, 0)
-                    own = np.flatnonzero(np.isin(_longs(_sums(hashes, _STEP[0], window)), np.array(windows, dtype=np.int64)))
-                    if not len(own):
-                        continue
-                    chosen = window_anchors(hashes, window)
-                    for run_ in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
-                        for a in range(0, len(run_), PIECE):
-                            starts = run_[a : a + PIECE]
-                            passages.append(" ".join(words[starts[0] : starts[-1] + window]))
-                            anchors.append(_longs(np.unique(chosen[starts])))
-                yield pa.RecordBatch.from_arrays([pa.array(passages, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], names=["piece", "anchors"])
+            for at, end in slices(batch.column(0)):
+                part = batch.slice(at, end - at)
+                found = words(part.column(0))
+                _, least, sound = _phrases(found, window)
+                text = found.text_of[: len(least)]
+                own = np.flatnonzero(sound & np.isin(_of_text(sums(found.hashes(0), STEP[0], window), text), _listed(part.column(1))))
+                passages, anchors, counts = [], [np.zeros(0, dtype=np.uint64)], []
+                for run_ in np.split(own, np.flatnonzero((np.diff(own) > 1) | (np.diff(text[own]) > 0)) + 1):
+                    for a in range(0, len(run_), PIECE):
+                        starts = run_[a : a + PIECE]
+                        passages.append(found.span(int(starts[0]), int(starts[-1]) + window).decode("utf-8"))
+                        anchors.append(np.unique(least[starts]))
+                        counts.append(len(anchors[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(passages, pa.string()), _lists(np.concatenate(anchors), np.array(counts, dtype=np.int64))], names=["piece", "anchors"])
 
     return owners.select("text", "windows").mapInArrow(run, "piece string, anchors array<long>")
 
 
-def covered_words(texts: list[np.ndarray], pieces: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """Which words of each text lie in a stretch of at least ``window`` words that a piece has too.
+class Passages:
+    """An Aho-Corasick automaton of recurring passages.
 
-    Words are numbers. The pieces are cut into phrases of half a window, of which every window holds
-    one whole; an Aho-Corasick automaton of these phrases reads each text, and each hit is
-    extended to both sides as far as text and piece agree.
+    Of each passage the automaton has phrases of ANCHOR words, so many that every window holds one
+    whole; it reads a word as one character (20 bits of its hash). The windows around each hit are
+    looked up among those of the passages, and stretches of them are compared byte by byte with the
+    passage, so that what is removed rests on equal words.
     """
-    phrase = (window + 1) // 2
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-    for number, piece in enumerate(pieces):
-        for at in range(0, len(piece) - phrase + 1, phrase):
-            places[tuple(piece[at : at + phrase].tolist())].append((number, at))
-    for key, value in places.items():
-        automaton.add_word(key, value)
-    out = []
-    if places:
-        automaton.make_automaton()
-    for text in texts:
-        covered = np.zeros(len(text) + 1, dtype=np.int64)
-        done: dict[tuple[int, int], int] = {}  # how far a piece laid at a place of the text has been compared
-        for end, hits in automaton.iter(tuple(text.tolist())) if places and len(text) >= window else ():
-            at = end - phrase + 1
-            for number, inside in hits:
-                laid = (number, at - inside)
-                if done.get(laid, -1) > at:
+
+    def __init__(self, pieces: pa.Array, window: int):
+        self.window = window
+        self.words = words(pieces)
+        hashes = self.words.hashes(0)
+        first, codes = self.words.first, characters(hashes)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            for at in range(a, b - ANCHOR + 1, window - ANCHOR + 1):
+                self.automaton.add_word(codes[at : at + ANCHOR], True)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+        windows, text = sums(hashes, STEP[0], window), self.words.text_of
+        sound = np.flatnonzero(text[: len(windows)] == text[window - 1 :]) if len(windows) else np.zeros(0, dtype=np.int64)
+        self.windows, at = np.unique(windows[sound], return_index=True)
+        self.places = sound[at]
+
+    def covered(self, texts: Words) -> np.ndarray:
+        """Which words of ``texts`` lie in a window that a passage has too."""
+        edges = np.zeros(len(texts.starts) + 1, dtype=np.int64)
+        if len(self.windows) and len(texts.starts) >= self.window:
+            for start, place, count in self._matches(texts):
+                if texts.span(start, start + count + self.window - 1) == self.words.span(place, place + count + self.window - 1):
+                    edges[start] += 1
+                    edges[start + count + self.window - 1] -= 1
                     continue
-                piece = pieces[number]
-                before = min(at, inside)
-                back = piece[inside - before : inside][::-1] != text[at - before : at][::-1]
-                start = at - (int(back.argmax()) if back.any() else before)
-                after = min(len(text) - at, len(piece) - inside)
-                ahead = piece[inside : inside + after] != text[at : at + after]
-                stop = at + (int(ahead.argmax()) if ahead.any() else after)
-                done[laid] = stop
-                if stop - start >= window:
-                    covered[start] += 1
-                    covered[stop] -= 1
-        out.append(np.cumsum(covered[:-1]) > 0)
-    return out
+                for k in range(count):  # hashes agree and words don't
+                    if texts.span(start + k, start + k + self.window) == self.words.span(place + k, place + k + self.window):
+                        edges[start + k] += 1
+                        edges[start + k + self.window] -= 1
+        return np.cumsum(edges[:-1]) > 0
+
+    def _matches(self, texts: Words) -> Iterator[tuple[int, int, int]]:
+        """Stretches of windows around hits: the first in the texts, the first in the passages, how many."""
+        hashes = texts.hashes(0)
+        codes, near = characters(hashes), np.zeros(len(hashes) + 1, dtype=np.int64)
+        for a, b in zip(texts.first.tolist(), texts.first[1:].tolist(), strict=False):
+            if b - a >= self.window:
+                last = np.fromiter((end for end, _ in self.automaton.iter(codes[a:b])), dtype=np.int64) + a
+                np.add.at(near, np.maximum(last - self.window + 1, a), 1)
+                np.add.at(near, last - ANCHOR + 2, -1)
+        windows, text = sums(hashes, STEP[0], self.window), texts.text_of
+        some = np.flatnonzero((np.cumsum(near)[: len(windows)] > 0) & (text[: len(windows)] == text[self.window - 1 :]))
+        at = np.minimum(np.searchsorted(self.windows, windows[some]), len(self.windows) - 1)
+        same = self.windows[at] == windows[some]
+        starts, places = some[same], self.places[at[same]]
+        if len(starts):
+            edge = np.flatnonzero(np.concatenate(([True], (np.diff(starts) != 1) | (np.diff(places) != 1))))
+            yield from zip(starts[edge].tolist(), places[edge].tolist(), np.diff(np.append(edge, len(starts))).tolist(), strict=True)
+
+
+def characters(hashes: np.ndarray) -> str:
+    """A character outside the basic plane for each word's hash."""
+    return (np.uint32(0x10000) + (hashes >> np.uint64(44)).astype("<u4")).tobytes().decode("utf-32-le")
 
 
 def _keys() -> list[Column]:
@@ -212,48 +194,49 @@ def _keys() -> list[Column]:
 
 
 def _located(docs: DataFrame, window: int, keep: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` with keys and digests, and what each text with repeats loses."""
+    """The rows of ``docs`` with keys and digests, and what each text with repeats loses: k1, k2,
+    n_removed, sha and, if it is to be kept, what is left."""
     if window < 2 * ANCHOR:
         raise ValueError(f"a window has at least {2 * ANCHOR} words")
     rows = written(_texts(docs, window), "texts")
     one = [F.count("*").alias("copies"), F.first("anchors").alias("anchors")]
-    classes = rows.where("anchors IS NOT NULL").groupBy("k1", "k2").agg(*one)
-    choices = written(classes, "text-anchors")
+    choices = written(rows.where("size(anchors) > 0").groupBy("k1", "k2").agg(*one), "text-anchors")
     weighed = choices.select("copies", F.explode("anchors").alias("anchor"))
     recurring = written(weighed.groupBy("anchor").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor"), "recurring-anchors")
     chosen = choices.select("k1", "k2", "copies", F.explode(F.array_distinct("anchors")).alias("anchor"))
     mine = chosen.join(recurring, "anchor").groupBy("k1", "k2").agg(F.first("copies").alias("copies"), F.collect_list("anchor").alias("anchors"))
-    keyed = docs.select(*_keys(), "text")
-    once = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    once = docs.select(*_keys(), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = written(once.join(mine, ["k1", "k2"]), "repeating-texts")
 
     counted = _windows(texts, window).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
     owned = counted.where("n > 1").groupBy("owner").agg(F.collect_list("h1").alias("windows"))
     owners = texts.select("k1", "text").join(owned, F.col("k1") == F.col("owner"))
-    pieces = written(_pieces(owners, window).withColumn("id", F.xxhash64("piece")), "recurring-passages")
+    pieces = _pieces(owners, window).withColumn("id", F.xxhash64("piece")).dropDuplicates(["id", "piece"])
+    pieces = written(pieces, "recurring-passages")
 
-    shards = max(8, texts.count() // SHARD_TEXTS)
+    shards = max(8, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
     shard = F.pmod("k1", F.lit(shards)).cast("int").alias("shard")
     wanted = texts.select(shard, F.explode("anchors").alias("anchor")).distinct()
     sent = pieces.select("id", F.explode("anchors").alias("anchor")).join(wanted, "anchor").select("shard", "id").distinct()
     patterns = sent.join(pieces.select("id", "piece"), "id").select("shard", "piece")
 
-    def locate(own: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-        words = [WORDS.findall(t) for t in own["text"]]
-        parts = [p.split(" ") for p in passages["piece"].drop_duplicates()]
-        codes: dict[str, int] = {}
-        number = codes.setdefault
-        coded = [np.array([number(w, len(codes)) for w in x], dtype=np.int64) for x in [*words, *parts]]
-        covered = covered_words(coded[: len(words)], coded[len(words) :], window)
-        out = []
-        for k1, k2, x, gone in zip(own["k1"], own["k2"], words, covered, strict=True):
-            kept = [x[i] for i in np.flatnonzero(~gone)]
-            out.append((k1, k2, int(gone.sum()), _digest(kept), " ".join(kept) if keep else None))
-        return pd.DataFrame(out, columns=["k1", "k2", "n_removed", "sha", "left"]).astype({"k1": "int64", "k2": "int64", "n_removed": "int64"})
+    def locate(own: pa.Table, passages: pa.Table) -> pa.Table:
+        compiled, out = Passages(pa.concat_arrays(passages["piece"].chunks) if len(passages) else pa.array([], pa.string()), window), []
+        for chunk in own.to_batches():
+            for at, end in slices(chunk.column("text")):
+                part = chunk.slice(at, end - at)
+                found = words(part.column("text"))
+                gone = compiled.covered(found)
+                for k1, k2, a, b in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), found.first.tolist(), found.first[1:].tolist(), strict=False):
+                    if removed := int(gone[a:b].sum()):
+                        change = np.flatnonzero(np.diff(np.concatenate(([True], gone[a:b], [True])))) + a
+                        left = b" ".join(found.span(x, y) for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True))
+                        out.append((k1, k2, removed, hashlib.sha256(left).hexdigest(), left.decode("utf-8") if keep else None))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["k1", "k2", "n_removed", "sha", "left"])
 
     found = texts.select(shard, "k1", "k2", "text").groupBy("shard").cogroup(patterns.groupBy("shard"))
-    found = written(found.applyInPandas(locate, "k1 long, k2 long, n_removed long, sha string, left string"), "located").where("n_removed > 0")
-    return rows, found
+    return rows, written(found.applyInArrow(locate, "k1 long, k2 long, n_removed long, sha string, left string"), "located")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -268,8 +251,9 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
        confirmed. One text with a confirmed window owns it, and consecutive windows of an owner make
        a passage.
     3. Passages go, in pieces, to the shards of texts that have one of their anchors. Each shard
-       compiles them into an Aho-Corasick automaton and streams its texts through it; hits are
-       extended word by word, so that what is removed rests on equal words and not on hashes.
+       (about SHARD_BYTES of texts) compiles them into an Aho-Corasick automaton and streams its texts
+       through it; the windows around hits are compared with the passages byte by byte, so that what
+       is removed rests on equal words and not on hashes.
 
     Equal texts are worked on once. Null, empty and shorter texts: nothing removed. Null and repeated
     doc_ids keep their rows; a repeated row is a copy like any other. An empty table gives none.
