@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     """Learns from ``docs`` (doc_id, text), all of them for the letter model, and ``labels`` (doc_id,
     toxic) of the rows where crc32(doc_id) mod 5 is not 0, of which about ``fit_rows`` at most are
     drawn by a hash of doc_id. A doc_id with several labels counts with each. Equal texts of one label, and
-    near copies (see copies.near_copies), count once; all other texts that were drawn count."""
+    near copies (see copies.near_copies), count once; all other texts that were drawn count.
+
+    Rows of ``labels`` with a null doc_id or a null label teach nothing, nor do those without a document.
+    Null texts count as empty ones; repeated rows are equal texts. Without labelled rows the model has no
+    telling words and scores every text alike, low. Other columns are ignored."""
     counts = letter_counts(docs)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold != 0).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -254,11 +257,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, with all columns."""
+    """The rows of ``docs`` (text) whose text scores below ``threshold``, with all columns as they are.
+
+    Rows pass through as Arrow columns, so no value changes its type on the way. Null and empty texts
+    score as texts without telling words and stay. Null doc_ids and repeated rows are judged by their
+    text like any other; other columns are not looked at. An empty table gives none. No shuffle.
+    """
+    at = docs.columns.index("text")
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].where(frame["text"].notna(), None)
-            yield frame[[model.score(t) < threshold for t in texts]]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
