@@ -13,8 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al., 2014) pull every node towards the smallest one
     around it until each hangs on its root: a number of rounds logarithmic in the number of nodes.
-    Neighbours are only ever reduced to their minimum, which combines before the shuffle, so a node
-    with very many links is no larger a task than others. Every round ends in a written table.
+    A node's least neighbour is an aggregate that combines before the shuffle, and is written before its
+    links are joined with it: the join then reads two plain shuffles, which adaptive execution
+    splits where a node has very many links. Every round ends in a written table.
 
     Links of a node to itself, repeated links, and links with a null end change nothing.
     """
@@ -28,8 +29,8 @@ def components(links: DataFrame) -> DataFrame:
             )
         before = now
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         stars = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")

@@ -107,8 +107,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     roots = components(fingerprint_links(fps, distance)).select(F.col("node").alias("fp"), "component")
     rooted = written(fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "fingerprint-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # Written first: where it is not small, the documents of a very common fingerprint can be split.
+    named = written(rooted.join(least, "root").select("fp", "component_id"), "named-fingerprints")
+    return join_small(found, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
