@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Events as feedback actions, and what each action weighs.
@@ -46,15 +46,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def mid_rank(partition: WindowSpec, value: Column, same: WindowSpec, ordered: WindowSpec) -> Column:
-    """Ranks of ties averaged, as a share: (place of the first + half their number) / all."""
-    first = F.rank().over(ordered) - 1
-    return (first + F.count(value).over(same) / 2.0) / F.count(value).over(partition)
+# Words that say nothing about a title.
+STOP_WORDS = ["sid", "mix", "remix", "version", "extended", "ost", "theme", "live", "edit", "feat", "featuring", "game", "c64", "the", "a", "an", "and", "or", "of", "in", "on"]
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case words of letters and digits, longer than one character."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1))
+    """Distinct lower-case words of letters and digits, longer than one character and no stop words, in order of letters."""
+    words = F.split(F.lower(text), "[^a-z0-9]+")
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))))
+
+
+def title_similarity(a: Column, b: Column) -> Column:
+    """Of two lists of words: the greater of their Jaccard similarity and, where one joined by spaces contains the
+    other (of four characters at least), the share of its length."""
+    x, y = F.array_join(a, " "), F.array_join(b, " ")
+    low, high = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    inside = (F.contains(x, y) | F.contains(y, x)) & (low >= 4)
+    return F.greatest(jaccard(a, b), F.when(inside, low / high).otherwise(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklens.functions.columns import jaccard, tokens
+from tracklens.functions.columns import STOP_WORDS, title_similarity, tokens
 from tracklens.sources.tables import table
 
 MEASURES = {"e": "l_quantity", "m": "l_extendedprice", "c": "l_discount"}
@@ -77,44 +77,79 @@ SELECT p_partkey, p_name, CAST(contains(f, 'blue') AS INTEGER) + CAST(contains(f
 
 
 def prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of the catalogue each brand makes up: log(1 + n) by that of the largest brand."""
+    """ln(tracks of a composer) by that of the most prolific one; null where that one has a single track."""
     counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    return counts.select("p_brand", "n", F.round(F.log1p("n") / F.max(F.log1p("n")).over(Window.partitionBy()), 6).alias("prominence"))  # a row for each brand
+    most = F.max("n").over(Window.partitionBy())  # a row for each brand
+    return counts.select("p_brand", "n", F.round(F.when(most > 1, F.ln("n") / F.ln(most)), 6).alias("prominence"))
 
 
-PROMINENCE = "SELECT p_brand, count(*) AS n, round(ln(1 + count(*)) / max(ln(1 + count(*))) OVER (), 6) AS prominence FROM part GROUP BY p_brand"
+PROMINENCE = "SELECT p_brand, count(*) AS n, round(CASE WHEN max(count(*)) OVER () > 1 THEN ln(count(*)) / ln(max(count(*)) OVER ()) END, 6) AS prominence FROM part GROUP BY p_brand"
 
 
 def rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One less the share of parts that have the same ratings."""
-    rated = calibrated_ratings(spark, sf_dir)
-    cells = rated.groupBy("e", "m", "c").agg(F.count("*").alias("n"))
-    return cells.select("e", "m", "c", "n", F.round(1 - F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("rarity"))  # at most 125 rows
+    """How thinly a directory (type and brand) is filled: 1 for the emptiest, 0 for the fullest, 0.5 if all are alike."""
+    counts = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+    low, high = (f("n").over(Window.partitionBy()) for f in (F.min, F.max))  # a row for each directory
+    return counts.select("p_type", "p_brand", "n", F.round(F.when(high > low, 1 - (F.col("n") - low) / (high - low)).otherwise(0.5), 6).alias("rarity"))
 
 
-RARITY = f"SELECT e, m, c, count(*) AS n, round(1 - count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS rarity FROM ({CALIBRATED}) GROUP BY e, m, c"
+RARITY = """WITH d AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT min(n) AS a, max(n) AS b FROM d)
+SELECT p_type, p_brand, n, round(CASE WHEN b > a THEN 1 - (n - a) / (b - a)::DOUBLE ELSE 0.5 END, 6) AS rarity FROM d, m"""
+
+
+def per_file_cap(rows: DataFrame, file: str, order: list, target: int) -> DataFrame:
+    """``rows`` with at most one row of each ``file`` (the first by ``order``), or two, or three: the least cap that keeps
+    ``target`` rows; all rows where none does. ``place`` is the row's place in its file, ``cap`` the cap (null: none)."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy(*order)))
+    kept = placed.agg(*[F.sum((F.col("place") <= c).cast("long")).alias(f"k{c}") for c in (1, 2, 3)])  # one row
+    cap = F.when(F.col("k1") >= target, 1).when(F.col("k2") >= target, 2).when(F.col("k3") >= target, 3)
+    return placed.crossJoin(F.broadcast(kept.select(cap.alias("cap")))).where("cap IS NULL OR place <= cap")
 
 
 def brand_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three dearest parts of each brand."""
-    best = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", F.row_number().over(best).alias("place")).where("place <= 3")
+    """At least 60 parts, the dearest of each brand first, as few of each as will do."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    return per_file_cap(parts, "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 60)
 
 
-CAP = "SELECT p_partkey, p_brand, p_retailprice, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS place FROM part QUALIFY place <= 3"
+CAP = """WITH p AS (SELECT p_partkey, p_brand, p_retailprice, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS place FROM part),
+c AS (SELECT CASE WHEN count(*) FILTER (place <= 1) >= 60 THEN 1 WHEN count(*) FILTER (place <= 2) >= 60 THEN 2 WHEN count(*) FILTER (place <= 3) >= 60 THEN 3 END AS cap FROM p)
+SELECT p.*, CAST(cap AS INTEGER) AS cap FROM p, c WHERE cap IS NULL OR place <= cap"""
 
 
-def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that share at least half their words with another name, joined over the words."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("words", tokens(F.col("p_name")))
-    one = names.select("p_name", "words", F.explode("words").alias("w"))
-    two = one.select(F.col("p_name").alias("other"), F.col("words").alias("other_words"), "w")
-    pairs = one.join(two, "w").where("p_name < other").select("p_name", "other", "words", "other_words").distinct()
-    return pairs.select("p_name", "other", F.round(jaccard(F.col("words"), F.col("other_words")), 6).alias("similarity")).where("similarity >= 0.5")
+def title_pairs(titles: DataFrame, least: float) -> DataFrame:
+    """title, other, similarity >= ``least`` for pairs of ``titles`` (title): Jaccard of their words, or what share of the
+    longer the shorter makes up where it is contained in it (four characters at least).
+
+    Only the rarest words of a title are joined (a prefix filter: of n words, all but least * n of the commonest), so
+    very common words join nothing; a title contained in another shares its rarest word too, as all of its words are in both.
+    """
+    own = titles.select("title").distinct().withColumn("words", tokens(F.col("title"))).where(F.size("words") > 0)
+    often = own.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    ranked = own.select("title", F.explode("words").alias("w")).join(often, "w")
+    ordered = ranked.groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("by"))
+    whole = own.join(ordered, "title").select("title", "words", F.transform("by", lambda x: x["w"]).alias("by"))
+    prefix = F.slice("by", 1, F.greatest(F.lit(1), F.size("by") - F.ceil(F.size("by") * least).cast("int") + 1))
+    short = whole.select("title", "words", F.explode(prefix).alias("w"))
+    every = whole.select(F.col("title").alias("other"), F.col("words").alias("others"), F.explode("by").alias("w"))
+    met = short.join(every, "w").where("title != other").select(F.least("title", "other").alias("title"), F.greatest("title", "other").alias("other"), "words", "others")
+    met = met.dropDuplicates(["title", "other"])
+    return met.select("title", "other", F.round(title_similarity(F.col("words"), F.col("others")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-TITLES = """WITH n AS (SELECT DISTINCT p_name, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS w FROM part)
-SELECT a.p_name, b.p_name AS other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE, 6) AS similarity FROM n a JOIN n b ON a.p_name < b.p_name WHERE similarity >= 0.5"""
+def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles (first 30 characters of documents in English or German) at a similarity of 0.55 or more."""
+    rows = table(spark, sf_dir, "documents").where("lang IN ('en', 'de')")
+    return title_pairs(rows.select(F.substring("text", 1, 30).alias("title")), 0.55)
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_WORDS = f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({{}}), '[^a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))))"
+_TITLE_SIMILARITY = """greatest(len(list_intersect({0}, {1})) / len(list_distinct({0} || {1}))::DOUBLE,
+  CASE WHEN least(length(array_to_string({0}, ' ')), length(array_to_string({1}, ' '))) >= 4 AND (contains(array_to_string({0}, ' '), array_to_string({1}, ' ')) OR contains(array_to_string({1}, ' '), array_to_string({0}, ' ')))
+  THEN least(length(array_to_string({0}, ' ')), length(array_to_string({1}, ' '))) / greatest(length(array_to_string({0}, ' ')), length(array_to_string({1}, ' ')))::DOUBLE ELSE 0 END)"""
+TITLES = f"""WITH n AS (SELECT DISTINCT substr(text, 1, 30) AS title FROM documents WHERE lang IN ('en', 'de')), w AS (SELECT title, {_WORDS.format('title')} AS w FROM n)
+SELECT a.title, b.title AS other, round({_TITLE_SIMILARITY.format('a.w', 'b.w')}, 6) AS similarity FROM w a JOIN w b ON a.title < b.title AND len(list_intersect(a.w, b.w)) > 0 WHERE len(a.w) > 0 AND len(b.w) > 0 AND similarity >= 0.55"""
 
 
 def era(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklens.operators.vectors import neighbours, vectors
 from tracklens.sources.tables import table
 
 
@@ -44,22 +45,32 @@ r AS (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_a
 SELECT count(*) AS n, round(corr(x, y), 6) AS rho FROM r"""
 
 
+def ndcg_of(edges: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """vec_id, ndcg for each of ``rows`` (vec_id, label, file) that has relevant others: those of its label in another file.
+    ``edges`` (vec_id, neighbour, place) rank its k nearest, without those of its own file."""
+    sizes = rows.groupBy("label").agg(F.count("*").alias("same_label"))
+    files = rows.groupBy("file").agg(F.count("*").alias("same_file"))
+    seeds = rows.join(sizes, "label").join(files, "file").withColumn("relevant", F.col("same_label") - F.col("same_file")).where("relevant > 0")
+    found = edges.join(rows.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("found")), "neighbour").join(rows.select("vec_id", "label"), "vec_id")
+    gains = found.groupBy("vec_id").agg(F.sum(F.when(F.col("label") == F.col("found"), 1 / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("dcg"))
+    ideal = F.expr(f"aggregate(sequence(1, CAST(least({k}, relevant) AS INT)), 0D, (s, p) -> s + 1 / log2(p + 1D))")
+    return seeds.join(gains, "vec_id", "left").select("vec_id", F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
+
+
 def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nDCG@10 for each user: events by value, gain by likes and completions."""
-    gain = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "view", 1).otherwise(0)
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", gain.alias("gain"))
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
-    ideal = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("gain"), "event_id"))
-    both = rows.select("user_id", "gain", place.alias("place"), ideal.alias("ideal"))
-    part = lambda c: F.sum(F.when(F.col(c) <= 10, F.col("gain") / F.log2(F.col(c) + 1.0)).otherwise(0.0))
-    sums = both.groupBy("user_id").agg(part("place").alias("dcg"), part("ideal").alias("best"))
-    return sums.select("user_id", F.round(F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0), 6).alias("ndcg"))
-
-
-NDCG = """WITH e AS (SELECT user_id, event_id, value, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS gain FROM events),
-p AS (SELECT user_id, gain, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place, row_number() OVER (PARTITION BY user_id ORDER BY gain DESC, event_id) AS ideal FROM e),
-s AS (SELECT user_id, sum(CASE WHEN place <= 10 THEN gain / log2(place + 1.0::DOUBLE) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= 10 THEN gain / log2(ideal + 1.0::DOUBLE) ELSE 0 END) AS best FROM p GROUP BY user_id)
-SELECT user_id, round(CASE WHEN best > 0 THEN dcg / best ELSE 0 END, 6) AS ndcg FROM s"""
+    """nDCG@10 of the nearest neighbours by label; every three vectors in a row are one file, and its others don't count."""
+    rows = vectors(spark, sf_dir).withColumn("file", F.floor(F.col("vec_id") / 3))
+    near = neighbours(rows.select("vec_id", "v"), rows.select("vec_id", "v"), 12).where("floor(vec_id / 3) != floor(neighbour / 3)")
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("place"))
+    return ndcg_of(near.withColumn("place", place).where("place <= 10"), rows.select("vec_id", "label", "file"), 10)
+
+
+NDCG = """WITH n AS (SELECT vec_id, label, vec_id // 3 AS file, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT a.vec_id, a.label = b.label AS hit, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM n a JOIN n b ON a.file != b.file),
+p AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other) AS place FROM s QUALIFY place <= 10),
+d AS (SELECT vec_id, sum(CASE WHEN hit THEN 1 / log2(place + 1.0::DOUBLE) ELSE 0 END) AS dcg FROM p GROUP BY vec_id),
+r AS (SELECT vec_id, count(*) OVER (PARTITION BY label) - count(*) OVER (PARTITION BY file) AS relevant FROM n)
+SELECT vec_id, round(dcg / list_sum(list_transform(range(1, least(10, relevant) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 6) AS ndcg FROM r JOIN d USING (vec_id) WHERE relevant > 0"""
 
 
 def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklens.functions.columns import action, age_days, decay, track
+from tracklens.functions.columns import action, age_days, clamp, decay, track
 from tracklens.sources.tables import table
 
 NOW = "2024-01-31 00:00:00"
@@ -25,23 +25,55 @@ def _count(*acts: str) -> Column:
     return F.sum(F.col("act").isin(*acts).cast("long"))
 
 
+def all_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with all eight actions: of the early skips, those of small value are dislikes, late skips and plain skips."""
+    early = F.col("act") == "skip_early"
+    split = F.when(early & (F.col("value") < 3), "dislike").when(early & (F.col("value") < 6), "skip_late").when(early & (F.col("value") < 9), "skip").otherwise(F.col("act"))
+    return events(spark, sf_dir).withColumn("act", split)
+
+
+# What an action adds to the decayed sums, in units of its decay weight.
+DECAYED = {
+    "likes": {"like": 1.0, "play_complete": 0.6, "replay": 1.2},
+    "dislikes": {"dislike": 1.0},
+    "skips": {"skip": 1.0, "skip_early": 1.2, "skip_late": 0.6},
+    "plays": {"play": 1.0, "play_complete": 1.1, "replay": 1.2},
+    "recent_plays": {"play": 1.0, "play_complete": 1.0, "replay": 1.1},
+}
+COUNTED = {"likes": ["like"], "dislikes": ["dislike"], "skips": ["skip", "skip_early", "skip_late"], "plays": ["play", "play_complete", "replay"]}
+
+
+def aggregate_feedback(log: DataFrame, key: str, now: Column) -> DataFrame:
+    """Counts and decayed sums of ``log`` (ts, act) for each ``key``. Recent plays are those since seven days before ``now``;
+    last_played is the latest play, completion, replay or like. A row without a time counts, with no decayed weight.
+
+    Sums combine before the shuffle, so a key that holds most rows is one row of each task."""
+    weight, recent = decay(F.col("ts"), now), F.coalesce(F.col("ts") >= now - F.expr("INTERVAL 7 DAYS"), F.lit(False))
+
+    def units(name: str) -> Column:
+        scale = F.lit(0.0)
+        for act, unit in DECAYED[name].items():
+            scale = F.when(F.col("act") == act, unit).otherwise(scale)
+        return F.sum(F.when(recent, weight * scale).otherwise(0.0) if name == "recent_plays" else weight * scale).alias(f"decayed_{name}")
+
+    counts = [_count(*acts).alias(name) for name, acts in COUNTED.items()]
+    plays = F.sum((F.col("act").isin(*COUNTED["plays"]) & recent).cast("long")).alias("recent_plays")
+    last = F.max(F.when(F.col("act").isin("like", *COUNTED["plays"]), F.col("ts"))).cast("timestamp_ntz").alias("last_played")
+    return log.groupBy(key).agg(*counts, plays, *[units(name) for name in DECAYED], last)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c.startswith("decayed_") else F.col(c) for c in df.columns])
+
+
 def feedback_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and decayed sums for each track; recent plays are those of the last 7 days."""
-    weight = decay(F.col("ts"), _now())
-    play = F.col("act").isin("play", "play_complete", "replay")
-    return (
-        events(spark, sf_dir)
-        .groupBy("track")
-        .agg(
-            _count("like").alias("likes"),
-            _count("skip_early", "skip_late", "skip").alias("skips"),
-            F.sum(play.cast("long")).alias("plays"),
-            F.sum((play & (age_days(F.col("ts"), _now()) <= 7)).cast("long")).alias("recent_plays"),
-            F.round(F.sum(F.when(F.col("act").isin("like", "play_complete", "replay"), weight).otherwise(0.0)), 6).alias("decayed_likes"),
-            F.round(F.sum(F.when(F.col("act") == "skip_early", weight).otherwise(0.0)), 6).alias("decayed_skips"),
-            F.max("ts").cast("timestamp_ntz").alias("last_played"),
-        )
-    )
+    """Feedback aggregated for each track."""
+    return _rounded(aggregate_feedback(all_actions(spark, sf_dir), "track", _now()))
+
+
+def feedback_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same aggregate under another key: the user."""
+    return _rounded(aggregate_feedback(all_actions(spark, sf_dir), "user_id", _now()))
 
 
 _E = """e AS (SELECT event_id, ts, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS track, value,
@@ -49,22 +81,61 @@ _E = """e AS (SELECT event_id, ts, user_id, CAST(json_extract_string(props, '$.k
   (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 86400000000.0::DOUBLE AS age,
   power(0.5::DOUBLE, greatest((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 86400000000.0::DOUBLE, 0) / 90.0) AS w FROM events)"""
 
-FEEDBACK_TOTALS = f"""WITH {_E} SELECT track,
-  count(*) FILTER (act = 'like') AS likes, count(*) FILTER (act IN ('skip_early', 'skip_late', 'skip')) AS skips,
-  count(*) FILTER (act IN ('play', 'play_complete', 'replay')) AS plays,
+_A = f"""{_E}, a AS (SELECT * REPLACE (CASE WHEN act != 'skip_early' OR value >= 9 THEN act WHEN value < 3 THEN 'dislike' WHEN value < 6 THEN 'skip_late' ELSE 'skip' END AS act) FROM e)"""
+
+
+def _aggregated(key: str) -> str:
+    """The eight cases, written out."""
+    return f"""SELECT {key}, count(*) FILTER (act = 'like') AS likes, count(*) FILTER (act = 'dislike') AS dislikes,
+  count(*) FILTER (act IN ('skip', 'skip_early', 'skip_late')) AS skips, count(*) FILTER (act IN ('play', 'play_complete', 'replay')) AS plays,
   count(*) FILTER (act IN ('play', 'play_complete', 'replay') AND age <= 7) AS recent_plays,
-  round(sum(CASE WHEN act IN ('like', 'play_complete', 'replay') THEN w ELSE 0 END), 6) AS decayed_likes,
-  round(sum(CASE WHEN act = 'skip_early' THEN w ELSE 0 END), 6) AS decayed_skips, max(ts) AS last_played
-FROM e GROUP BY track"""
+  sum(CASE act WHEN 'like' THEN w WHEN 'play_complete' THEN w * 0.6::DOUBLE WHEN 'replay' THEN w * 1.2::DOUBLE ELSE 0 END) AS decayed_likes,
+  sum(CASE act WHEN 'dislike' THEN w ELSE 0 END) AS decayed_dislikes,
+  sum(CASE act WHEN 'skip' THEN w WHEN 'skip_early' THEN w * 1.2::DOUBLE WHEN 'skip_late' THEN w * 0.6::DOUBLE ELSE 0 END) AS decayed_skips,
+  sum(CASE act WHEN 'play' THEN w WHEN 'play_complete' THEN w * 1.1::DOUBLE WHEN 'replay' THEN w * 1.2::DOUBLE ELSE 0 END) AS decayed_plays,
+  sum(CASE WHEN age > 7 THEN 0 WHEN act IN ('play', 'play_complete') THEN w WHEN act = 'replay' THEN w * 1.1::DOUBLE ELSE 0 END) AS decayed_recent_plays,
+  max(CASE WHEN act IN ('play', 'play_complete', 'replay', 'like') THEN ts END) AS last_played FROM a GROUP BY {key}"""
+
+
+_G = f"{_A}, g AS ({_aggregated('track')})"
+_ROUND = ", ".join(f"round(decayed_{c}, 6) AS decayed_{c}" for c in DECAYED)
+FEEDBACK_TOTALS = f"WITH {_G} SELECT * REPLACE ({_ROUND}) FROM g"
+FEEDBACK_BY_USER = f"WITH {_A}, g AS ({_aggregated('user_id')}) SELECT * REPLACE ({_ROUND}) FROM g"
+
+
+def _by_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate_feedback(all_actions(spark, sf_dir), "track", _now())
 
 
 def feedback_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likes against skips, both decayed, as a number from -1 to 1, with a prior of five events."""
-    totals = feedback_totals(spark, sf_dir)
-    return totals.select("track", F.round((F.col("decayed_likes") - F.col("decayed_skips")) / (F.col("decayed_likes") + F.col("decayed_skips") + 5.0), 5).alias("balance"))
+    """Normalised song feedback, 0 to 1: likes less dislikes and 0.3 of skips, by plays (one at least), all decayed."""
+    score = (F.col("decayed_likes") - F.col("decayed_dislikes") - 0.3 * F.col("decayed_skips")) / F.greatest("decayed_plays", F.lit(1.0))
+    return _by_track(spark, sf_dir).select("track", F.round(clamp((score + 2) / 4, 0.0, 1.0), 6).alias("balance"))
+
+
+FEEDBACK_BALANCE = f"WITH {_G} SELECT track, round(greatest(0, least(1, ((decayed_likes - decayed_dislikes - 0.3::DOUBLE * decayed_skips) / greatest(decayed_plays, 1) + 2) / 4)), 6) AS balance FROM g"
+
+
+def average_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Community rating of each track: likes weigh 5, skips 3, dislikes 1; 3 where there are none."""
+    total = F.col("decayed_likes") + F.col("decayed_skips") + F.col("decayed_dislikes")
+    mean = (5 * F.col("decayed_likes") + 3 * F.col("decayed_skips") + F.col("decayed_dislikes")) / total
+    return _by_track(spark, sf_dir).select("track", F.round(F.when(total == 0, 3.0).otherwise(mean), 6).alias("average"), F.round(total, 6).alias("total"))
+
 
+AVERAGE = f"WITH {_G}, t AS (SELECT *, decayed_likes + decayed_skips + decayed_dislikes AS n FROM g) SELECT track, round(CASE WHEN n = 0 THEN 3 ELSE (5 * decayed_likes + 3 * decayed_skips + decayed_dislikes) / n END, 6) AS average, round(n, 6) AS total FROM t"
 
-FEEDBACK_BALANCE = f"SELECT track, round((decayed_likes - decayed_skips) / (decayed_likes + decayed_skips + 5.0), 5) AS balance FROM ({FEEDBACK_TOTALS})"
+
+def ratings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates looked up for a list of tracks (parts 90 to 119); those without feedback get zeros and the rating 3."""
+    wanted = table(spark, sf_dir, "part").where("p_partkey BETWEEN 90 AND 119").select(F.col("p_partkey").alias("track"))
+    found = average_rating(spark, sf_dir).join(feedback_totals(spark, sf_dir).select("track", "likes", "plays"), "track")
+    known = wanted.join(found, "track", "left")
+    return known.select("track", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("average", 3.0), ("total", 0.0), ("likes", 0), ("plays", 0))])
+
+
+RATINGS_OF = f"""SELECT p_partkey AS track, coalesce(average, 3) AS average, coalesce(total, 0) AS total, coalesce(likes, 0) AS likes, coalesce(plays, 0) AS plays
+FROM part LEFT JOIN ({AVERAGE}) x ON x.track = p_partkey LEFT JOIN ({FEEDBACK_TOTALS}) y ON y.track = p_partkey WHERE p_partkey BETWEEN 90 AND 119"""
 
 
 def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,17 +150,30 @@ CHART = f"""WITH {_E}, c AS (SELECT track, count(*) AS plays FROM e WHERE act =
 SELECT track, plays, CAST(row_number() OVER (ORDER BY plays DESC, track) AS INTEGER) AS place FROM c QUALIFY place <= 20"""
 
 
+def chart_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tracks with most plain plays of the week, of this calendar month and of all time (ties: first played first)."""
+    plays = events(spark, sf_dir).where("act = 'play'")
+    spans = F.array_compact(F.array(F.when(age_days(F.col("ts"), _now()) <= 7, F.lit("week")), F.when(F.date_trunc("month", "ts") == F.date_trunc("month", _now()), F.lit("month")), F.lit("all")))
+    counted = plays.select("track", "ts", F.explode(spans).alias("span")).groupBy("span", "track").agg(F.count("*").alias("plays"), F.min("ts").alias("first"))
+    place = F.row_number().over(Window.partitionBy("span").orderBy(F.desc("plays"), "first"))
+    return counted.select("span", "track", "plays", place.alias("place")).where("place <= 5")
+
+
+SPANS = f"""WITH {_E}, p AS (SELECT 'week' AS span, * FROM e WHERE act = 'play' AND age <= 7 UNION ALL SELECT 'month', * FROM e WHERE act = 'play' AND date_trunc('month', ts) = DATE '2024-01-01' UNION ALL SELECT 'all', * FROM e WHERE act = 'play'),
+c AS (SELECT span, track, count(*) AS plays, min(ts) AS first FROM p GROUP BY span, track)
+SELECT span, track, plays, CAST(row_number() OVER (PARTITION BY span ORDER BY plays DESC, first) AS INTEGER) AS place FROM c QUALIFY place <= 5"""
+
+
 def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth of plays of the last 7 days over the 7 days before, smoothed by one."""
-    age = age_days(F.col("ts"), _now())
-    plays = events(spark, sf_dir).where(F.col("act").isin("play", "play_complete", "replay") & (age <= 14))
-    counted = plays.groupBy("track").agg(F.sum((age <= 7).cast("long")).alias("this_week"), F.sum((age > 7).cast("long")).alias("last_week"))
-    return counted.withColumn("growth", F.round((F.col("this_week") + 1) / (F.col("last_week") + 1), 6))
+    """Recent plays by the share of likes (0.5 without any), out of 20; trending above 0.7."""
+    likes = F.col("decayed_likes")
+    ratio = F.when(likes > 0, likes / (likes + F.col("decayed_dislikes") + 1)).otherwise(0.5)
+    score = F.round(F.least(F.lit(1.0), F.col("decayed_recent_plays") * ratio / 20), 6)
+    return _by_track(spark, sf_dir).select("track", score.alias("score"), (score > 0.7).alias("trending"))
 
 
-TRENDING = f"""WITH {_E}, c AS (SELECT track, count(*) FILTER (age <= 7) AS this_week, count(*) FILTER (age > 7) AS last_week
-  FROM e WHERE act IN ('play', 'play_complete', 'replay') AND age <= 14 GROUP BY track)
-SELECT *, round((this_week + 1) / (last_week + 1)::DOUBLE, 6) AS growth FROM c"""
+TRENDING = f"""WITH {_G}, s AS (SELECT track, round(least(1, decayed_recent_plays * CASE WHEN decayed_likes > 0 THEN decayed_likes / (decayed_likes + decayed_dislikes + 1) ELSE 0.5 END / 20), 6) AS score FROM g)
+SELECT track, score, score > 0.7 AS trending FROM s"""
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,15 +208,22 @@ LATEST = f"WITH {_E} SELECT user_id, track, ts, event_id, act FROM e QUALIFY row
 
 
 def temporal_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's last fifth of events (at least one) held out for evaluation."""
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    numbered = events(spark, sf_dir).withColumn("n", F.row_number().over(newest)).withColumn("all", F.count("*").over(Window.partitionBy("user_id")))
-    held = F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("all") * 0.2))
-    return numbered.groupBy("act", F.when(held, "test").otherwise("train").alias("part")).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
+    """The last fifth of all events, by time and record, held out: floor(0.2 n) rows.
+
+    Hours are counted first, a row each; only the hour in which the cut falls is ranked, so no task sorts the log."""
+    log = events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
+    later = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = log.groupBy("hour").agg(F.count("*").alias("n")).select("hour", later.alias("later"), "n", F.floor(F.sum("n").over(Window.partitionBy()) * 0.2).alias("held"))
+    placed = log.join(hours, "hour")
+    inside = F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("ts"), F.desc("event_id")))
+    cut = placed.where("later < held AND later + n > held").withColumn("test", F.col("later") + inside <= F.col("held"))
+    rest = placed.where("NOT (later < held AND later + n > held)").withColumn("test", F.col("later") < F.col("held"))
+    split = cut.unionByName(rest).withColumn("part", F.when(F.col("test"), "test").otherwise("train"))
+    return split.groupBy("act", "part").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.min("ts").cast("timestamp_ntz").alias("first"))
 
 
-HOLDOUT = f"""WITH {_E}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM e)
-SELECT act, CASE WHEN n <= greatest(1, floor(c * 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS part, count(*) AS events, count(DISTINCT user_id) AS users FROM n GROUP BY ALL"""
+HOLDOUT = f"""WITH {_E}, n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER () AS c FROM e)
+SELECT act, CASE WHEN n <= floor(c * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part, count(*) AS events, count(DISTINCT user_id) AS users, min(ts) AS first FROM n GROUP BY ALL"""
 
 
 def play_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,12 +240,12 @@ SELECT track, plays, round((rank() OVER (ORDER BY plays) - 1) / count(*) OVER ()
 
 
 def orphan_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of tracks that the catalogue (parts) does not have."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track"))
+    """Events of tracks that the catalogue (parts but the promotional ones) does not have."""
+    parts = table(spark, sf_dir, "part").where("p_type != 'PROMO'").select(F.col("p_partkey").alias("track"))
     return events(spark, sf_dir).join(parts, "track", "left_anti").groupBy("track").agg(F.count("*").alias("events"))
 
 
-ORPHANS = f"WITH {_E} SELECT track, count(*) AS events FROM e WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = track) GROUP BY track"
+ORPHANS = f"WITH {_E} SELECT track, count(*) AS events FROM e WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = track AND p_type != 'PROMO') GROUP BY track"
 
 
 def session_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +263,10 @@ SELECT a.track, b.track AS other, count(*) AS days FROM g a JOIN g b ON a.user_i
 QUERIES = {
     "feedback_totals": feedback_totals,
     "feedback_balance": feedback_balance,
+    "feedback_by_user": feedback_by_user,
+    "average_rating": average_rating,
+    "ratings_of": ratings_of,
+    "chart_spans": chart_spans,
     "chart": chart,
     "trending": trending,
     "sessions": sessions,
@@ -185,6 +280,10 @@ QUERIES = {
 ORACLES = {
     "feedback_totals": FEEDBACK_TOTALS,
     "feedback_balance": FEEDBACK_BALANCE,
+    "feedback_by_user": FEEDBACK_BY_USER,
+    "average_rating": AVERAGE,
+    "ratings_of": RATINGS_OF,
+    "chart_spans": SPANS,
     "chart": CHART,
     "trending": TRENDING,
     "sessions": SESSIONS,
