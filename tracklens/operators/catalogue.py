@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.columns import STOP_WORDS, title_similarity, tokens
+from tracklens.functions.ranks import counted, quantiles
 from tracklens.sources.tables import table
 
 MEASURES = {"e": "l_quantity", "m": "l_extendedprice", "c": "l_discount"}
@@ -23,15 +24,17 @@ _M = "r AS (SELECT l_partkey, round(avg(l_quantity), 6) AS e, round(avg(l_extend
 def calibrated_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings from 1 to 5 by the quintiles of each measure over the corpus; a value on a break falls below.
 
-    Breaks (a row of numbers) come from one aggregation and go to every executor.
+    Breaks (a row for each measure) are exact and come from counts by range; they go to every executor.
     """
     raw = part_measures(spark, sf_dir)
-    breaks = raw.agg(*[F.percentile(c, [0.2, 0.4, 0.6, 0.8]).alias(f"{c}_breaks") for c in MEASURES])
+    long = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in MEASURES])).alias("x")).select("x.*")
+    breaks = quantiles(long, ["measure"], "value", [0.2, 0.4, 0.6, 0.8])
+    row = breaks.agg(*[F.max(F.when(F.col("measure") == c, F.col("breaks"))).alias(f"{c}_breaks") for c in MEASURES])
 
     def level(c: str):
         return (sum((F.col(c) > F.col(f"{c}_breaks")[i]).cast("int") for i in range(4)) + 1).alias(c)
 
-    return raw.crossJoin(F.broadcast(breaks)).select("l_partkey", *[level(c) for c in MEASURES])
+    return raw.crossJoin(F.broadcast(row)).select("l_partkey", *[level(c) for c in MEASURES])
 
 
 CALIBRATED = f"""WITH {_M}, b AS (SELECT quantile_cont(e, [0.2, 0.4, 0.6, 0.8]) AS eb, quantile_cont(m, [0.2, 0.4, 0.6, 0.8]) AS mb, quantile_cont(c, [0.2, 0.4, 0.6, 0.8]) AS cb FROM r)
@@ -51,12 +54,9 @@ SELECT l_partkey, round((e - ea) / CASE WHEN es > 0 THEN es ELSE 1 END, 4) AS e,
 
 
 def rank_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part's place among all by mean quantity: ties share the middle of their ranks. Distinct
-    values are counted first, so only they are ordered together."""
+    """Each part's place among all by mean quantity: ties share the middle of their ranks."""
     raw = part_measures(spark, sf_dir).select("l_partkey", "e")
-    counts = raw.groupBy("e").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.select("e", ((before + F.col("n") / 2.0) / F.sum("n").over(Window.partitionBy())).alias("place"))
+    placed = counted(raw, [], "e").select("e", ((F.col("below") + F.col("n") / 2.0) / F.col("total")).alias("place"))
     return raw.join(placed, "e").select("l_partkey", F.round("place", 6).alias("place"))
 
 

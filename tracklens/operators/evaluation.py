@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklens.functions.ranks import counted
 from tracklens.operators.vectors import neighbours, vectors
 from tracklens.sources.tables import table
 
 
 def _ranked(rows: DataFrame, value: str) -> DataFrame:
     """value, n, rank: the middle rank of each distinct value."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(value, "n", (before + (F.col("n") + 1) / 2.0).alias("rank"))
+    return counted(rows, [], value).select(value, "n", (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
