@@ -35,12 +35,12 @@ def path_feedback(spark, sf_dir):
     return own.join(shared, "sid_path", "left").fillna(0, ["likes", "plays"]).select("track", "sid_path", "likes", "plays")
 
 
-@query("""WITH l AS (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 9 = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS at FROM lineitem)
-SELECT l_partkey, at, l_orderkey, l_linenumber, l_quantity FROM l QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY at DESC, l_orderkey DESC, l_linenumber DESC) = 1""")
+@query("""WITH l AS (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 9 = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS dated FROM lineitem)
+SELECT l_partkey, dated, l_orderkey, l_linenumber, l_quantity FROM l QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY dated DESC, l_orderkey DESC, l_linenumber DESC) = 1""")
 def latest_records(spark, sf_dir):
     """Of a part's records the one of the latest date (as text; none: empty), of equal ones the last. One aggregation, no sort."""
     at = F.when(F.col("l_orderkey") % 9 == 0, "").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
-    last = F.max(F.struct(at.alias("at"), "l_orderkey", "l_linenumber", "l_quantity")).alias("x")
+    last = F.max(F.struct(at.alias("dated"), "l_orderkey", "l_linenumber", "l_quantity")).alias("x")
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(last).select("l_partkey", "x.*")
 
 

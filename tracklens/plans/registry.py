@@ -4,11 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklens.operators import catalogue, evaluation, feedback, joins, personas, scalars, stations, vectors
+from tracklens.operators import catalogue, evaluation, feedback, joins, measures, personas, scalars, sequences, stations, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _family in (feedback, catalogue, vectors, evaluation, stations, personas, scalars, joins):
+for _family in (feedback, catalogue, vectors, evaluation, stations, personas, scalars, joins, sequences, measures):
     QUERIES |= _family.QUERIES
     ORACLES |= _family.ORACLES
