@@ -7,7 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklens.functions.ranks import counted
 from tracklens.operators.catalogue import CALIBRATED, calibrated_ratings
+from tracklens.operators.scalars import _FNV, fnv1a
 
 #: Tracks of a station.
 STATION = 50
@@ -97,5 +99,85 @@ OVERLAP = f"""WITH {_STATIONS}, shared AS (SELECT a.persona AS persona_a, b.pers
 SELECT persona_a, persona_b, coalesce(n, 0)::BIGINT AS shared, round(coalesce(n, 0) * 100.0::DOUBLE / {STATION}, 1) AS percent FROM (VALUES {_PAIRS}) p(persona_a, persona_b) LEFT JOIN shared USING (persona_a, persona_b)"""
 
 
-QUERIES = {"persona_scores": persona_scores, "persona_stations": persona_stations, "persona_distribution": persona_distribution, "persona_overlap": persona_overlap}
-ORACLES = {"persona_scores": SCORES, "persona_stations": STATIONS, "persona_distribution": DISTRIBUTION, "persona_overlap": OVERLAP}
+#: The share of all tracks that belong to a persona.
+SHARE = 0.2
+
+
+def members(scored: DataFrame, share: float = SHARE) -> DataFrame:
+    """The best ``share`` (rounded) of the tracks of each persona, of equal scores those of the lower hash: rows of ``scored`` (persona,
+    track, score). Scores are counted to find the cut; only the tracks at the cut are ranked."""
+    known = counted(scored.withColumn("loss", -F.col("score")), ["persona"], "loss").withColumn("wanted", F.floor(F.col("total") * share + 0.5))
+    cuts = known.where("below < wanted AND below + n >= wanted").select("persona", F.col("loss").alias("cut"), "below", "wanted")  # a row for each persona
+    rows = scored.join(F.broadcast(cuts), "persona")
+    tied = rows.where("-score = cut").withColumn("i", F.row_number().over(Window.partitionBy("persona").orderBy(fnv1a("CAST(track AS STRING)"), "track")))
+    columns = ["persona", "track", "score"]
+    return rows.where("-score < cut").select(*columns).unionByName(tied.where("below + i <= wanted").select(*columns))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are read twice, and so are members where populations are compared: both are kept on the executors (and computed anew if
+    one is lost)."""
+    scored = _scored(spark, sf_dir).select("persona", "track", F.round("score", 6).alias("score")).persist()
+    return members(scored).persist()
+
+
+_MEMBERS = f"""{_SCORED}, h AS (SELECT persona, track, round(score, 6) AS score, CAST({_FNV.format("track::VARCHAR")} AS BIGINT) AS h FROM scored), members AS (SELECT persona, track, score FROM h QUALIFY row_number() OVER (PARTITION BY persona ORDER BY score DESC, h, track) <= floor(count(*) OVER (PARTITION BY persona) * 0.2::DOUBLE + 0.5))"""
+_BITS = {name: 1 << i for i, name in enumerate(PERSONAS)}
+_BIT_SQL = "CASE persona " + " ".join(f"WHEN '{name}' THEN {bit}" for name, bit in _BITS.items()) + " END"
+
+
+def style_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personas of each track as bits; a track of none has 0."""
+    bits = _members(spark, sf_dir).groupBy("track").agg(F.sum(F.expr(_BIT_SQL)).cast("int").alias("mask"))
+    every = calibrated_ratings(spark, sf_dir).select(F.col("l_partkey").alias("track"))
+    return every.join(bits, "track", "left").fillna(0, ["mask"])
+
+
+MASKS = f"WITH {_MEMBERS}, b AS (SELECT track, CAST(sum({_BIT_SQL}) AS INTEGER) AS mask FROM members GROUP BY track) SELECT l_partkey AS track, CAST(coalesce(mask, 0) AS INTEGER) AS mask FROM ratings LEFT JOIN b ON b.track = l_partkey"
+
+
+def style_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of each persona, how many of them have no other, their different scores, and the share at the lowest one."""
+    rows = _members(spark, sf_dir)
+    alone = rows.groupBy("track").agg(F.count("*").alias("k"))
+    least = rows.groupBy("persona").agg(F.min("score").alias("least"))  # a row for each persona
+    both = rows.join(alone, "track").join(F.broadcast(least), "persona")
+    return both.groupBy("persona").agg(F.count("*").alias("tracks"), F.sum((F.col("k") == 1).cast("long")).alias("exclusive"), F.countDistinct("score").alias("scores"), F.round(F.avg((F.col("score") == F.col("least")).cast("int")), 6).alias("tied"))
+
+
+POPULATIONS = f"""WITH {_MEMBERS}, k AS (SELECT *, count(*) OVER (PARTITION BY track) AS k, min(score) OVER (PARTITION BY persona) AS least FROM members)
+SELECT persona, count(*) AS tracks, count(*) FILTER (k = 1) AS exclusive, count(DISTINCT score) AS scores, round(avg((score = least)::INT), 6) AS tied FROM k GROUP BY persona"""
+
+
+def style_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the members of every two personas overlap."""
+    masks = style_masks(spark, sf_dir).groupBy("mask").agg(F.count("*").alias("n"))  # at most 32 rows
+    pairs = spark.createDataFrame([(a, b, _BITS[a], _BITS[b]) for a, b in combinations(PERSONAS, 2)], "persona_a string, persona_b string, x int, y int")
+    x, y = F.col("mask").bitwiseAND(F.col("x")) > 0, F.col("mask").bitwiseAND(F.col("y")) > 0
+    sums = masks.crossJoin(F.broadcast(pairs)).groupBy("persona_a", "persona_b").agg(F.sum(F.when(x & y, F.col("n")).otherwise(0)).alias("shared"), F.sum(F.when(x | y, F.col("n")).otherwise(0)).alias("any"))
+    return sums.select("persona_a", "persona_b", "shared", F.round(F.col("shared") / F.col("any"), 6).alias("jaccard"))
+
+
+JACCARD = f"""WITH {_MEMBERS}, s AS (SELECT a.persona AS persona_a, b.persona AS persona_b, count(*) AS n FROM members a JOIN members b USING (track) GROUP BY ALL), c AS (SELECT persona, count(*) AS n FROM members GROUP BY persona)
+SELECT persona_a, persona_b, coalesce(s.n, 0)::BIGINT AS shared, round(coalesce(s.n, 0) / (x.n + y.n - coalesce(s.n, 0))::DOUBLE, 6) AS jaccard
+FROM (VALUES {_PAIRS}) p(persona_a, persona_b) LEFT JOIN s USING (persona_a, persona_b) JOIN c x ON x.persona = persona_a JOIN c y ON y.persona = persona_b"""
+
+
+def population_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the populations: too few or too many tracks, too few exclusive ones or different scores, too many ties,
+    too much overlap. No row: nothing."""
+    every = calibrated_ratings(spark, sf_dir).agg(F.count("*").alias("n"))  # one row
+    rules = {"floor": "tracks < 0.15 * n", "ceiling": "tracks > 0.25 * n", "exclusivity": "exclusive < 0.1 * tracks", "spread": "scores < 10", "ties": "tied > 0.05"}
+    one = style_populations(spark, sf_dir).crossJoin(F.broadcast(every))
+    broken = one.select("persona", F.explode(F.array_compact(F.array(*[F.when(F.expr(test), F.lit(rule)) for rule, test in rules.items()]))).alias("rule"))
+    overlap = style_jaccard(spark, sf_dir).where("jaccard > 0.4").select(F.concat_ws("+", "persona_a", "persona_b").alias("persona"), F.lit("overlap").alias("rule"))
+    return broken.unionByName(overlap)
+
+
+GATE = f"""WITH p AS ({POPULATIONS}), n AS (SELECT count(*) AS n FROM ({CALIBRATED})) SELECT persona, 'floor' AS rule FROM p, n WHERE tracks < 0.15 * n UNION ALL SELECT persona, 'ceiling' FROM p, n WHERE tracks > 0.25 * n
+UNION ALL SELECT persona, 'exclusivity' FROM p WHERE exclusive < 0.1 * tracks UNION ALL SELECT persona, 'spread' FROM p WHERE scores < 10 UNION ALL SELECT persona, 'ties' FROM p WHERE tied > 0.05
+UNION ALL SELECT concat(persona_a, '+', persona_b), 'overlap' FROM ({JACCARD}) WHERE jaccard > 0.4"""
+
+
+QUERIES = {"persona_scores": persona_scores, "persona_stations": persona_stations, "persona_distribution": persona_distribution, "persona_overlap": persona_overlap, "style_masks": style_masks, "style_populations": style_populations, "style_jaccard": style_jaccard, "population_gate": population_gate}
+ORACLES = {"persona_scores": SCORES, "persona_stations": STATIONS, "persona_distribution": DISTRIBUTION, "persona_overlap": OVERLAP, "style_masks": MASKS, "style_populations": POPULATIONS, "style_jaccard": JACCARD, "population_gate": GATE}
