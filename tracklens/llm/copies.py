@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracklens.llm.common import join_small, written
 from tracklens.llm.graph import components
 from tracklens.llm.simhash import SEED, WORDS
+from tracklens.llm.words import mixed as spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares none of the bands with a chance of (1 - 0.8**4)**28 = 4e-7.
@@ -49,7 +50,7 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mixed = hashes[None, at : at + 4096] * _ODD
         least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * _ODD[::-1]).min(axis=1))
     bands = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    bit = np.array([xxhash.xxh64_intdigest(x.tobytes()) & 1 for x in least], dtype=np.uint8)
+    bit = (spread(least) >> np.uint64(63)).astype(np.uint8)
     words = np.packbits(np.concatenate([bit, np.zeros(128 - len(bit), np.uint8)])).view(np.int64)
     return np.array(bands, dtype=np.uint64).view(np.int64), words
 

@@ -131,18 +131,19 @@ class Decoder:
             text = SPACED.sub(lambda m: self.word(m[0]), text)
         if ")" in text:
             text = CLOSED.sub(r" \1 ", text)
-        odd = {}
-        for token in set(text.split()):
-            if token.isalpha() and not TWICE.search(token):
-                continue
-            left = len(token) - len(token.lstrip(OUTSIDE + "#" if any(map(str.isalpha, token)) else OUTSIDE))
-            core = token[left:].rstrip(OUTSIDE)
-            if not core or (core.isalpha() and (not TWICE.search(core) or core.lower() in self.known)):
-                continue
-            odd[token] = token[:left] + self.word(core) + token[left + len(core) :]
-        if not odd:
-            return text
-        return " ".join(odd.get(t, t) for t in text.split())
+        tokens = text.split()
+        odd = {t: self._odd(t) for t in set(tokens) if not t.isalpha() or TWICE.search(t)}
+        odd = {t: read for t, read in odd.items() if read is not None}
+        return " ".join([odd.get(t, t) for t in tokens]) if odd else text
+
+    def _odd(self, token: str) -> str | None:
+        """What a token reads as if it is odd, else None."""
+        core = token.lstrip(OUTSIDE if not any(map(str.isalpha, token)) else OUTSIDE + "#")
+        left = len(token) - len(core)
+        core = core.rstrip(OUTSIDE)
+        if not core or (core.isalpha() and (not TWICE.search(core) or core.lower() in self.known)):
+            return None
+        return token[:left] + self.word(core) + token[left + len(core) :]
 
 
 def features(text: str) -> set[str]:
@@ -164,12 +165,15 @@ class Model:
     base: float
     known: frozenset[str] = frozenset()
     _decoder: Decoder | None = field(default=None, repr=False)
+    _heads: frozenset[str] = field(default=frozenset(), repr=False)
 
     def score(self, text: str | None) -> float:
         if self._decoder is None:
-            self._decoder = Decoder(self.counts, self.known)
+            self._decoder, self._heads = Decoder(self.counts, self.known), frozenset(f.removesuffix("-")[: PREFIXES[0]] for f in self.shares)
+        # Only words that begin like a telling feature can have one.
+        words = " ".join([w for w in set(WORD.findall(self._decoder.restore(text or "").lower())) if w[: PREFIXES[0]] in self._heads])
         clean = 1 - self.base
-        for f in features(self._decoder.restore(text or "")) & self.shares.keys():
+        for f in sorted(features(words) & self.shares.keys()):
             clean *= 1 - self.shares[f]
         return float(1 - clean)
 
@@ -203,12 +207,20 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     doubled = drawn.select(words.alias("word")).where(F.col("word").rlike(r"(\p{L})\1") & ~F.col("word").rlike(r"(\p{L})\1\1"))
     known_words = frozenset(r["word"] for r in doubled.groupBy("word").count().where("count >= 3").select("word").collect())  # bounded by fit_rows
 
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(counts, known_words)
+        for batch in batches:
+            texts = pa.array([decoder.restore(t or "") for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["toxic", "text"])
+
+    drawn = written(drawn.select("toxic", "text").mapInArrow(decoded, "toxic int, text string"), "restored-fit-rows")
+
     def counted(toxic: bool, wanted: set[str] | None, known: set[str]) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            decoder, found, seen = Decoder(counts, known_words), Counter(), 0
+            found, seen = Counter(), 0
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    own = features(decoder.restore(text or ""))
+                    own = features(text)
                     if not own & known:
                         found.update(own if wanted is None else own & wanted)
                         seen += 1
