@@ -212,6 +212,24 @@ def test_images(spark):
     assert images.copies(images.drawn(pages.limit(0))).count() == 0
 
 
+def test_edited_images(spark):
+    """Nine of ten crops, turned and smaller copies, of overdrawn crops 85 of 100, and no strangers; a large group stays together."""
+    rows = [(i, f"picture {i}") for i in range(1200)]
+    got = {r.id: r.component_id for r in images.copies(images.drawn(spark.createDataFrame(rows, "page_id long, html string"))).collect()}
+    for kind in range(4):
+        found = [got[2 * i + 1] == 2 * i for i in range(kind, 1200, 4)]
+        assert sum(found) >= (0.85 if kind == 3 else 0.9) * len(found), kind
+    assert all(got[2 * i] == 2 * i for i in range(1200))
+    one, other, flat = images.render("one"), images.render("other"), np.full((64, 64), 9, np.uint8)
+    odd = [(i, 64, one.tobytes(), "x") for i in range(40, 0, -1)] + [(500 + i, 56, one[4:60, 4:60].tobytes(), "x") for i in range(3)]
+    odd += [(90, 64, other.tobytes(), "x"), (90, 64, other.tobytes(), "x"), (None, 64, one.tobytes(), "x"), (91, None, one.tobytes(), "x"), (92, 0, b"", "x"), (93, 7, one.tobytes(), "x"), (94, 64, None, "x"), (95, 2, b"abcd", "x"), (96, 64, flat.tobytes(), "x"), (97, 64, flat.tobytes(), "x")]
+    found = images.copies(spark.createDataFrame(odd, "id long, width int, pixels binary, corners string")).collect()
+    assert len(found) == len(odd)
+    group = {r.id: r.component_id for r in found}
+    assert {group[i] for i in [*range(1, 41), 500, 501, 502]} == {1}
+    assert group[None] is None and all(group[i] == i for i in (90, 91, 92, 93, 94, 95, 96)) and group[97] == 96
+
+
 def test_toxicity(spark):
     draw = random.Random(5)
     words = ["the", "stone", "under", "water", "moves", "slowly", "because", "rivers", "bend", "again", "mountain", "letter"]
