@@ -179,3 +179,18 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, pivots: int = PIV
     known = known.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The same rows in DuckDB, over a view ``embeddings`` of sound vectors with distinct ids.
+ORACLE_SQL = """
+WITH RECURSIVE n AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id != b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), w AS (
+  SELECT vec_id AS node, vec_id AS root FROM n UNION SELECT l.b, w.root FROM w JOIN l ON l.a = w.node
+), c AS (
+  SELECT node, min(root) AS root FROM w GROUP BY node
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM n JOIN c ON node = vec_id
+"""

@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op3_warc": fixity.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_embeddings": pivots.ORACLE_SQL, "op3_warc": fixity.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
