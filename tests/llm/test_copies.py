@@ -45,3 +45,17 @@ def test_near_copies(spark):
     assert {i for i, _ in got} - {None} == wanted and [t for i, t in got if i is None] == ["a text of its own"]
     assert len(got) == len(wanted) + 1 < len(rows) - 50
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_alike_but_not_near(spark):
+    """Many texts with an edit of their own each: all share bands, none is near another, and few pairs are made."""
+    from pyspark.sql import functions as F
+
+    base = [f"w{i}" for i in range(30)]
+    rows = [" ".join([*base[: 4 + i % 22], f"own{i}", *base[5 + i % 22 :]]) for i in range(200)]
+    rows += [rows[7] + " end", "last " + rows[150]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in copies.without_near_copies(docs).collect()) == list(range(200))
+    texts = docs.select(copies.text_class(F.col("text")).alias("cls"), "text")
+    pairs = copies._rest(texts, texts.select("cls", F.col("cls").alias("component"))).collect()
+    assert 2 <= len(pairs) <= 20

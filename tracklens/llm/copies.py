@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from tracklens.llm.common import join_small, written
 from tracklens.llm.graph import components
 from tracklens.llm.simhash import SEED, WORDS
-from tracklens.llm.words import mixed as spread
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Taken off a bound on numbers of shingles before it is rounded up, as products of SIMILARITY are not exact.
+SLACK = 1e-6
 #: A pair of similarity 0.8 shares none of the bands with a chance of (1 - 0.8**4)**28 = 4e-7.
 BANDS, ROWS = 28, 4
-#: Bits of two sketches (one for each MinHash) that may differ before the texts are compared: at
-#: similarity 0.8 each differs with a chance of 0.1, more than 30 of 112 with one of about 1e-7.
-FAR_BITS = 30
+#: A round of comparisons with one text of each bucket is followed by another while it leaves less than
+#: this share of the rows in buckets of several components.
+WORTH = 0.7
 
 _ODD = np.random.default_rng(20250301).integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -43,16 +44,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS hashes of ROWS MinHashes each, and two words with a bit of each MinHash."""
+def bands(hashes: np.ndarray) -> list[int]:
+    """BANDS signed 64-bit hashes of ROWS MinHashes each."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 4096):
         mixed = hashes[None, at : at + 4096] * _ODD
         least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * _ODD[::-1]).min(axis=1))
-    bands = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    bit = (spread(least) >> np.uint64(63)).astype(np.uint8)
-    words = np.packbits(np.concatenate([bit, np.zeros(128 - len(bit), np.uint8)])).view(np.int64)
-    return np.array(bands, dtype=np.uint64).view(np.int64), words
+    found = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(found, dtype=np.uint64).view(np.int64).tolist()
 
 
 def text_class(text: Column) -> Column:
@@ -60,14 +59,49 @@ def text_class(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
+def _hashed(texts: DataFrame, numbers: Callable[[np.ndarray], list[int]]) -> DataFrame:
+    """cls, hashes: what ``numbers`` makes of the shingles of each of ``texts`` (cls, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(shingles(t)) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([b.tolist() for b, _ in found], pa.list_(pa.int64())), *(pa.array([int(w[k]) for _, w in found], pa.int64()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "bands", "low", "high"])
+            found = [numbers(shingles(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["cls", "hashes"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, hashes array<long>")
+
 
-    return texts.select("cls", "text").mapInArrow(run, "cls long, bands array<long>, low long, high long")
+def _rare_first(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """cls, component, n, at, shingle: the shingles at the first places (from 0) of each text when its n
+    shingles are sorted from rare to common among ``texts`` (cls, text); ``parts`` (cls, component).
+
+    Only places that a text as similar as SIMILARITY can share first are given: what two such texts have in
+    common is more than what follows them. Shingles of one text only come first and are counted, not given.
+    """
+    sets = written(_hashed(texts, lambda x: x.view(np.int64).tolist()), "shingle-sets")
+    each = sets.select("cls", F.explode("hashes").alias("shingle"))
+    common = written(each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "common-shingles")
+    held = each.join(common, "shingle").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("held"))  # those of one text
+    rows = held.join(sets.select("cls", F.size("hashes").alias("n")), "cls").join(parts, "cls").withColumn("alone", F.col("n") - F.size("held"))
+    places = F.col("n") - F.ceil(F.col("n") * SIMILARITY - SLACK).cast("int") + 1 - F.col("alone")
+    first = rows.where(places > 0).select("cls", "component", "n", "alone", F.posexplode(F.slice("held", 1, places)).alias("i", "x"))
+    return first.select("cls", "component", "n", (F.col("alone") + F.col("i")).alias("at"), "x.shingle")
+
+
+def _rest(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """a, b: all pairs of ``texts`` (cls, text) in different ``parts`` (cls, component) that may be similar enough.
+
+    Prefix filtering by place: the first shingle that two similar texts share, in the order from rare to common,
+    stands so early in both that enough shingles follow it. Texts that are alike but each have an edit of their own
+    share no shingle that early, so a large group of such texts makes no pairs.
+    """
+    first = written(_rare_first(texts, parts), "rare-shingles")
+    needed = F.ceil((F.col("x.n") + F.col("y.n")) * (SIMILARITY / (1 + SIMILARITY)) - SLACK)
+    shorter = first.where(F.col("n") - F.col("at") >= F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - SLACK))
+    order = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.cls") < F.col("x.cls")))
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= needed
+    met = (F.col("x.shingle") == F.col("y.shingle")) & order & (F.col("x.component") != F.col("y.component")) & enough
+    pairs = first.alias("x").join(shorter.alias("y"), met)
+    return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -89,28 +123,35 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """cls, component for the classes of equal texts of ``docs`` (text) that are near copies of others:
     five-word shingles with a Jaccard similarity of at least 0.8, and what such links reach.
 
-    Texts that share a band of MinHashes are candidates. First every text is compared with one of
-    each bucket of a band, the same in most; what is linked then needs no more comparisons
-    inside, so large groups of near copies make as many pairs as they have texts. Then the pairs
-    of a bucket that are in different components yet are compared, where their sketches allow it.
+    Texts that share a band of MinHashes are candidates. Every text is compared with one of each
+    bucket of a band, the same in most; what is linked then needs no more comparisons inside, so large
+    groups of near copies make as many pairs as they have texts. Further rounds take other texts of the
+    buckets that still hold several components. Of what such a round no longer settles, all pairs of
+    different components are compared that share a shingle early enough (see _rest).
     """
     texts = written(docs.select(text_class(F.col("text")).alias("cls"), "text").groupBy("cls").agg(F.min("text").alias("text")), "distinct-texts")
-    sketches = written(_sketched(texts), "sketches")
-    buckets = sketches.select("cls", "low", "high", F.explode("bands").alias("bucket"))
-    leaders = written(buckets.groupBy("bucket").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader < last").select("bucket", "leader"), "band-leaders")
-    shared = written(buckets.join(leaders, "bucket"), "shared-bands")
-    stars = written(shared.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "star-pairs")
-    links = _verified(stars, texts)
-    roots = written(components(links), "star-roots")
-    rooted = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    rooted = written(rooted.select("bucket", "cls", "low", "high", "component"), "rooted-bands")
-    mixed = rooted.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("bucket")
-    mixed = written(rooted.join(mixed, "bucket"), "mixed-bands")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    differ = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
-    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & (differ <= FAR_BITS)
-    rest = x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(written(rest, "rest-pairs"), texts)
+    sketches = written(_hashed(texts, bands), "bands")
+    buckets = sketches.select("cls", F.explode("hashes").alias("bucket"))
+    several = written(buckets.groupBy("bucket").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a < _b").select("bucket"), "shared-buckets")
+    mixed = written(buckets.join(several, "bucket").withColumn("component", F.col("cls")), "shared-bands")
+    links, before, turn = None, None, 0
+    while True:
+        leaders = mixed.groupBy("bucket").agg(F.min_by(F.struct("cls", "component"), F.xxhash64(F.lit(turn), "cls")).alias("leader"))
+        stars = mixed.join(written(leaders, "band-leaders"), "bucket").where("component != leader.component")
+        found = _verified(written(stars.select(F.least("leader.cls", "cls").alias("a"), F.greatest("leader.cls", "cls").alias("b")).distinct(), "star-pairs"), texts)
+        links = found if links is None else written(links.unionByName(found), "links-so-far")
+        roots = written(components(links), "star-roots")
+        rooted = mixed.drop("component").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        rooted = written(rooted.select("bucket", "cls", "component"), "rooted-bands")
+        several = rooted.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("bucket")
+        mixed = written(rooted.join(written(several, "mixed-buckets"), "bucket"), "mixed-bands")
+        left = mixed.count()
+        if not left or (before is not None and left > WORTH * before):
+            break
+        before, turn = left, turn + 1
+    parts = written(mixed.select("cls", "component").distinct(), "mixed-classes")
+    open_texts = join_small(texts, parts.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left_semi")
+    more = _verified(written(_rest(open_texts, parts), "rest-pairs"), texts)
     return components(links.unionByName(more)).select(F.col("node").alias("cls"), "component")
 
 
