@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracklens.llm import fixity, images, mixing, phrases, pieces, pivots, rollups, sharding, simhash, toxicity
+from tracklens.llm import extraction, fixity, images, mixing, negatives, phrases, pieces, pivots, rollups, sharding, simhash, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_simhash": op2_simhash,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_media": op9_media,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
+    "op12_extraction": op12_extraction,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op1_embeddings": pivots.ORACLE_SQL, "op3_warc": fixity.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_embeddings": pivots.ORACLE_SQL, "op3_warc": fixity.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op11_negatives": negatives.ORACLE_SQL, "op12_extraction": extraction.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
