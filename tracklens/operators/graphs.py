@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklens.functions.kept import kept
 from tracklens.operators.vectors import neighbours, vectors
 from tracklens.plans.define import family
 
@@ -69,32 +68,22 @@ def graph_neighbours(spark, sf_dir):
 def seed_neighbours(spark, sf_dir):
     """Stored neighbours of some seeds with what the tracks table knows, excluded ones left out and ranks closed up."""
     labels = vectors(spark, sf_dir).select(F.col("vec_id").alias("neighbour"), "label")
-    kept = edges(spark, sf_dir, 5).where("vec_id < 20 AND neighbour % 7 != 0").join(labels, "neighbour")
+    rows = vectors(spark, sf_dir).select("vec_id", "v")
+    near = neighbours(rows.where("vec_id < 20"), rows, 5).where("neighbour % 7 != 0").join(labels, "neighbour")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy("place"))
-    return kept.select(F.col("vec_id").alias("seed"), "neighbour", "label", place.alias("place"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where executors can read it again: in the shared folder if one is set, else in the checkpoint's place."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/tracklens/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return near.select(F.col("vec_id").alias("seed"), "neighbour", "label", place.alias("place"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
     """node, component: the least node that ``links`` (a, b), in either direction, reach. Labels spread by minima and then jump to their
     label's label, so rounds grow with the logarithm of the longest way; each round is kept."""
-    both = _kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         spread = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         lower = labels.join(spread, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("next"))
-        found = _kept(lower.join(jump, "c").select("node", F.least("c", "next").alias("component")))
+        found = kept(lower.join(jump, "c").select("node", F.least("c", "next").alias("component")))
         before, after = (x.agg(F.sum("component")).first()[0] for x in (labels, found))  # labels only fall
         labels = found
         if before == after:

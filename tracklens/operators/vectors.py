@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.columns import cosine, dot
+from tracklens.functions.kept import kept
 from tracklens.sources.tables import table
 
-#: Queries that meet the whole table together; each block is one task for each part of the table.
-QUERY_BLOCK = 512
+#: Rows for which there is a pivot, pivots at most, and cells that a query meets first.
+CELL_ROWS, PIVOTS, PROBES = 8192, 1024, 4
+#: Rows of a cell, and queries, that one task compares.
+BLOCK = 16_384
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,36 +57,110 @@ w AS (SELECT vec_id, i, x * sqrt(CASE WHEN i <= 24 THEN 2.0 ELSE 1.0 END) AS x F
 SELECT vec_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS score FROM w JOIN s USING (i) WHERE vec_id != 0 GROUP BY vec_id ORDER BY score DESC, vec_id LIMIT 10"""
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """vec_id, neighbour, similarity, place: the k nearest ``rows`` (vec_id, v) to each of ``queries``.
+def _directions(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_list())
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    Queries are put into blocks; every part of ``rows`` keeps its own best k for each query of a
-    block, and the best of these follow from one ranking of k rows for each part and query.
-    """
-    parts = max(1, rows.rdd.getNumPartitions())
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = rows.select(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"vec_id": [], "neighbour": [], "similarity": []}).astype({"vec_id": "int64", "neighbour": "int64", "similarity": "float64"})
-        b = b.sort_values("vec_id")
-        x, y = (np.stack(t["v"].to_list()) for t in (a, b))
-        x, y = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300) for t in (x, y))
-        ids, out = b["vec_id"].to_numpy(), []
-        for own, s in zip(a["vec_id"].to_numpy(), np.round(x @ y.T, 6), strict=True):
-            s = np.where(ids == own, -9.0, s)
-            order = np.argsort(-s, kind="stable")[: min(k, len(ids))]
-            order = order[s[order] > -9.0]
-            out.append(pd.DataFrame({"vec_id": own, "neighbour": ids[order], "similarity": s[order]}))
-        return pd.concat(out)
-
-    found = q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInPandas(best, "vec_id long, neighbour long, similarity double")
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+
+
+def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k of ``rows`` for each query, of those not below its floor; ties go to the smaller id."""
+    found = [pd.DataFrame({"vec_id": [0][:0], "neighbour": [0][:0], "similarity": [0.0][:0]})]
+    rows = rows.sort_values("vec_id", kind="stable")
+    if len(queries) and len(rows):
+        y, ids = np.stack(rows["v"].to_list()), rows["vec_id"].to_numpy()
+        for at in range(0, len(queries), 512):
+            some = queries.iloc[at : at + 512]
+            own, floor = some["vec_id"].to_numpy(), some["floor"].fillna(-2.0).to_numpy()
+            s = np.round(np.stack(some["v"].to_list()) @ y.T, 6)
+            s[(own[:, None] == ids) | (s < floor[:, None])] = -9.0
+            if len(ids) > k:  # what is below the k-th can't be among the best
+                s[s < np.partition(s, -k, axis=1)[:, -k][:, None]] = -9.0
+            q, r = np.nonzero(s > -9.0)
+            order = np.lexsort((r, -s[q, r], q))
+            q, r = q[order], r[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, r = q[first], r[first]
+            found.append(pd.DataFrame({"vec_id": own[q], "neighbour": ids[r], "similarity": s[q, r]}))
+    return pd.concat(found)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def neighbours(queries: DataFrame, rows: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """vec_id, neighbour, similarity, place: the k nearest ``rows`` (vec_id, v) to each of ``queries``, exactly.
+
+    Rows lie in cells around pivots, which are rows themselves (one for every ``cell_rows`` rows, PIVOTS at most).
+    A query first meets the PROBES cells of the nearest pivots; the k-th similarity found there is its floor. A
+    cell's radius bounds how near any of its rows can be (the triangle inequality of angles), so the query then
+    meets only the cells whose bound is not below its floor. Vectors without structure gain nothing by this:
+    all cells stay open for them, in blocks.
+    """
+    count = rows.count()
+    cells = max(1, min(PIVOTS, -(-count // cell_rows)))
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells if cells > 1 else 0).select("v").collect()  # PIVOTS at most
+    pivots = _directions(pd.Series([r["v"] for r in drawn])) if drawn else None
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = _directions(frame["v"])
+                near = _angles(x, pivots) if pivots is not None else np.zeros((len(x), 1))
+                cell = near.argmin(axis=1)
+                yield pd.DataFrame({"vec_id": frame["vec_id"], "v": list(x), "cell": cell, "angle": near[np.arange(len(x)), cell]})
+
+    held = kept(rows.select("vec_id", "v").mapInPandas(assign, "vec_id long, v array<double>, cell int, angle double"), "cells")
+    known = sorted(tuple(r) for r in held.groupBy("cell").agg(F.count("*"), F.max("angle")).collect())  # a row for each pivot
+    name = np.array([c for c, _, _ in known], dtype=int)
+    radius = np.array([a for _, _, a in known])
+    split = {c: -(-n // BLOCK) for c, n, _ in known}
+    blocks = F.create_map(*[F.lit(x) for pair in split.items() for x in pair]) if split else F.create_map(F.lit(0), F.lit(1))
+    held = held.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), blocks[F.col("cell")]).cast("int").alias("block"))
+    parts = max(1, -(-queries.count() // BLOCK))
+
+    def meetings(asked: DataFrame, probing: bool) -> DataFrame:
+        """Queries, once for each cell that they meet."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), 1024):
+                    some = frame.iloc[at : at + 1024]
+                    x = _directions(some["v"])
+                    near = _angles(x, pivots[name]) if pivots is not None else np.zeros((len(x), 1))
+                    first = np.zeros(near.shape, dtype=bool)
+                    np.put_along_axis(first, np.argsort(near, axis=1, kind="stable")[:, :PROBES], True, axis=1)
+                    bound = np.cos(np.maximum(near - radius, 0.0))
+                    q, c = np.nonzero(first if probing else ~first & (bound >= some["floor"].fillna(-2.0).to_numpy()[:, None] - 2e-6))
+                    yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy()[q], "v": [x[i] for i in q], "floor": some["floor"].to_numpy(dtype=float)[q], "cell": name[c]})
+
+        met = asked.mapInPandas(run, "vec_id long, v array<double>, floor double, cell int")
+        met = met.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
+        return met.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(parts)).cast("int"))
+
+    def compared(met: DataFrame) -> DataFrame:
+        keys = ["cell", "block", "part"]
+        copies = held.join(F.broadcast(met.select(*keys).distinct()), ["cell", "block"]) if parts * len(split) <= PIVOTS else held.join(met.select(*keys).distinct(), ["cell", "block"])
+        met = met.toDF(*met.columns)  # both sides come from one table: columns of their own
+        return met.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(lambda a, b: _best(a, b, k), "vec_id long, neighbour long, similarity double")
+
+    if not known:
+        return _ranked(queries.limit(0).select("vec_id", F.col("vec_id").alias("neighbour"), F.lit(0.0).alias("similarity")), k)
+    asked = queries.select("vec_id", "v", F.lit(None).cast("double").alias("floor"))
+    found = compared(meetings(asked, True))
+    if len(known) <= PROBES:
+        return _ranked(found, k)
+    found = kept(_ranked(found, k), "probed")
+    floors = found.groupBy("vec_id").agg(F.when(F.count("*") == k, F.min("similarity")).alias("floor"))
+    rest = meetings(queries.select("vec_id", "v").join(floors, "vec_id", "left"), False)
+    return _ranked(found.drop("place").unionByName(compared(kept(rest, "meetings"))), k)
+
+
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of all vectors to each whose id is divisible by 10."""
     rows = vectors(spark, sf_dir).select("vec_id", "v")
