@@ -4,11 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklens.operators import catalogue, evaluation, feedback, graphs, joins, measures, personas, rankings, scalars, selection, sequences, stations, vectors
+from tracklens.operators import assembly, catalogue, evaluation, feedback, graphs, joins, measures, personas, rankings, scalars, selection, sequences, stations, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _family in (feedback, catalogue, vectors, evaluation, stations, personas, scalars, joins, sequences, measures, rankings, graphs, selection):
+for _family in (feedback, catalogue, vectors, evaluation, stations, personas, scalars, joins, sequences, measures, rankings, graphs, selection, assembly):
     QUERIES |= _family.QUERIES
     ORACLES |= _family.ORACLES
