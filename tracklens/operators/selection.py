@@ -125,13 +125,13 @@ def candidate_recall(spark, sf_dir):
     return neighbours(rows, rows, 25).join(found, ["vec_id", "neighbour"], "left").groupBy("place").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
 
 
-def _greedy(d: np.ndarray, between: np.ndarray, there: np.ndarray, slots: int, alpha: int) -> np.ndarray:
+def _greedy(d: np.ndarray, between: np.ndarray, there: np.ndarray, slots: int, alpha: int, forced: int = 0) -> np.ndarray:
     """Which candidates the diversifying rule keeps: nodes x candidates, in order of distance. A candidate goes if one that
-    is kept is so near to it that alpha times their distance is not above its own; distances are in millionths."""
+    is kept is so near to it that alpha times their distance is not above its own; the first ``forced`` stay. Distances are in millionths."""
     keep = np.zeros(d.shape, dtype=bool)
     for c in range(d.shape[1]):
         hidden = (keep & (alpha * between[:, :, c] <= 1000 * d[:, c, None])).any(axis=1)
-        keep[:, c] = there[:, c] & ~hidden & (keep.sum(axis=1) < slots)
+        keep[:, c] = there[:, c] & (~hidden | (c < forced)) & (keep.sum(axis=1) < slots)
     return keep
 
 
@@ -141,7 +141,7 @@ def _filled(keep: np.ndarray, there: np.ndarray, slots: int) -> np.ndarray:
     return keep | rest & (np.cumsum(rest, axis=1) <= slots - keep.sum(axis=1, keepdims=True))
 
 
-def pruned(lists: DataFrame, slots: int = SLOTS, alpha: int = ALPHA, fill: bool = True) -> DataFrame:
+def pruned(lists: DataFrame, slots: int = SLOTS, alpha: int = ALPHA, fill: bool = True, forced: int = 0) -> DataFrame:
     """vec_id, neighbour, similarity that the rule keeps of ``lists`` (vec_id, list: array of (similarity, id, v) in order, v unit)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +156,7 @@ def pruned(lists: DataFrame, slots: int = SLOTS, alpha: int = ALPHA, fill: bool
                     sims[i, : len(row)], ids[i, : len(row)], v[i, : len(row)] = [x["similarity"] for x in row], [x["id"] for x in row], [x["v"] for x in row]
                 d = 1_000_000 - np.rint(sims * 1e6).astype(np.int64)
                 between = 1_000_000 - np.rint(np.round(v @ v.transpose(0, 2, 1), 6) * 1e6).astype(np.int64)
-                keep = _greedy(d, between, there, slots, alpha)
+                keep = _greedy(d, between, there, slots, alpha, forced)
                 i, c = np.nonzero(_filled(keep, there, slots) if fill else keep)
                 yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy()[i], "neighbour": ids[i, c], "similarity": sims[i, c]})
 
@@ -195,7 +195,7 @@ def with_reverse(edges: DataFrame, unit: DataFrame, slots: int = SLOTS, alpha: i
     while not left.isEmpty():
         some = kept(left.withColumn("place", place).where(F.col("place") <= ROUND).drop("place"), "round")
         # What is kept so far is nearest of all, and so kept again.
-        pool = some if chosen is None else some.unionByName(chosen)
+        pool = some if chosen is None else some.unionByName(chosen.join(some.select("vec_id").distinct(), "vec_id", "left_semi"))
         now = pruned(in_order(pool, unit), slots, alpha, fill=False)
         chosen = kept(now if chosen is None else now.unionByName(chosen.join(some.select("vec_id").distinct(), "vec_id", "left_anti")), "chosen")
         open_ = chosen.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") < slots).select("vec_id")

@@ -137,7 +137,8 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, cell_rows: int = CEL
                     np.put_along_axis(first, np.argsort(near, axis=1, kind="stable")[:, :PROBES], True, axis=1)
                     bound = np.cos(np.maximum(near - radius, 0.0))
                     q, c = np.nonzero(first if probing else ~first & (bound >= some["floor"].fillna(-2.0).to_numpy()[:, None] - 2e-6))
-                    yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy()[q], "v": [x[i] for i in q], "floor": some["floor"].to_numpy(dtype=float)[q], "cell": name[c]})
+                    if len(q):
+                        yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy()[q], "v": [x[i] for i in q], "floor": some["floor"].to_numpy(dtype=float)[q], "cell": name[c]})
 
         met = asked.mapInPandas(run, "vec_id long, v array<double>, floor double, cell int")
         met = met.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
