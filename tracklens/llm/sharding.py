@@ -15,7 +15,7 @@ PARTS = 64
 HEAVY = 4096
 #: Lighter items are placed in portions of about so many, each by a task of its own.
 PORTION = 4096
-#: Ranges in which the rows of a shard are numbered.
+#: Ranges in which the rows of a shard, or of a large group, are numbered.
 SLOT_RANGES = 1024
 DIMENSIONS = ("bytes", "tokens", "rows")
 
@@ -40,7 +40,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     a shard from 0 without gaps.
 
     Null text: size 1, no tokens, CRC 0; null texts are equal to each other and to no other text.
-    Null doc_ids and repeated rows are rows like any other. Other columns of ``docs`` are ignored.
+    Null doc_ids and repeated rows are rows like any other, spread as such. Other columns of ``docs`` are ignored.
     """
     text = F.col("text")
     sizes = docs.select(
@@ -49,8 +49,10 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("bytes"),
         word_count(text).alias("tokens"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    sizes = written(sizes, "shard-sizes")
+    # A row's number holds once it is written; rows that are equal in everything else are spread by it.
+    sizes = written(sizes.withColumn("_range", F.pmod(F.xxhash64("row"), F.lit(SLOT_RANGES)).cast("int")), "shard-sizes")
     totals = sizes.agg(F.sum("bytes"), F.sum("tokens"), F.count("*")).first()
     total = [max(1, x or 0) for x in totals]
 
@@ -59,9 +61,13 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     # At most 3 * PARTS groups exceed the share, whatever the input.
     large = sizes.groupBy("key1", "key2").agg(*summed).where((share > 1 / PARTS) & (F.col("rows") > 1))
     large = large.select(F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), F.ceil(share * PARTS).cast("int").alias("_parts"))
-    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "key1"), F.col("_parts"))).otherwise(0).cast("int")
-    rows = sizes.join(F.broadcast(large), (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2")), "left")
-    rows = rows.withColumn("part", part).drop("_k1", "_k2", "_parts")
+    here = (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2"))
+    large = written(large, "shard-large")
+    hot = written(sizes.join(F.broadcast(large), here).drop("_k1", "_k2"), "shard-hot")
+    hot = running_total(hot, ["key1", "key2"], "_range", ["row"], F.lit(1), "_number")
+    hot = hot.withColumn("part", F.pmod("_number", F.col("_parts")).cast("int")).drop("_number", "_parts")
+    rest = sizes.join(F.broadcast(large.drop("_parts")), here, "left_anti").withColumn("part", F.lit(0))
+    rows = written(rest.unionByName(hot), "shard-dealt")
 
     items = written(rows.groupBy("key1", "key2", "part").agg(*summed).withColumn("_share", share), "shard-items")
     portions = max(1, items.where(F.col("_share") <= 1 / HEAVY).count() // PORTION)
@@ -92,9 +98,8 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     then = items.where(F.col("_share") <= 1 / HEAVY).groupBy(portion.alias("_portion")).applyInPandas(light, schema)
     where = first.unionByName(then).select(F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), F.col("part").alias("_p"), "shard")
     same = (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2")) & (F.col("part") == F.col("_p"))
-    dealt = rows.join(where, same).select("doc_id", "key1", "key2", "bytes", "tokens", "text_crc32", "shard")
-    dealt = written(dealt.withColumn("_range", F.pmod(F.xxhash64("key2", "doc_id"), F.lit(SLOT_RANGES)).cast("int")), "shard-rows")
-    slots = running_total(dealt, ["shard"], "_range", ["doc_id", "key1", "key2"], F.lit(1), "_slot")
+    dealt = written(rows.join(where, same).select("doc_id", "row", "bytes", "tokens", "text_crc32", "shard", "_range"), "shard-rows")
+    slots = running_total(dealt, ["shard"], "_range", ["row"], F.lit(1), "_slot")
     return slots.select(
         "doc_id",
         F.col("bytes").alias("size"),
