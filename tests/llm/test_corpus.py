@@ -11,7 +11,7 @@ import xxhash
 from tracklens.llm import fixity, images, mixing, phrases, pieces, pivots, rollups, sharding, simhash, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 int, _key string, size int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 int, _key string, size int, _id int, _size int, _cls int, _k1 int, _left int, _own int, __k2 int"
 
 
 def documents(spark):
@@ -27,7 +27,7 @@ def documents(spark):
         rows.append((i, own))
     rows += [(60 + i, rows[i][1]) for i in range(8)]
     rows += [(90, None), (91, ""), (92, " \n\t "), (93, "x " * 90), (None, "lonely"), (94, "a b " * 20), (5, rows[5][1])]
-    return spark.createDataFrame([(i, t, "en", None if i and i % 7 == 0 else f"s{(i or 0) % 3}", len(t or ""), 1, "k", 2) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", None if i and i % 7 == 0 else f"s{(i or 0) % 3}", len(t or ""), 1, "k", 2, 3, 4, 5, 6, 7, 8, 9) for i, t in rows], DOCS)
 
 
 @pytest.fixture(scope="module")

@@ -46,6 +46,12 @@ def join_small(df: DataFrame, other: DataFrame, on, how: str = "inner", limit: i
     return df.join(F.broadcast(other) if other.limit(limit + 1).count() <= limit else other, on, how)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with as many underscores before each as no column of ``df`` begins with: columns to work with that clash with none."""
+    most = max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)
+    return [f"{'_' * (most + 1)}{name}" for name in names]
+
+
 def word_count(text: Column) -> Column:
     """Number of words (null: 0), inside the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

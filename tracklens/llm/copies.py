@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import join_small, written
+from tracklens.llm.common import join_small, unused, written
 from tracklens.llm.graph import components
+from tracklens.llm.simhash import fingerprint_links, fingerprints
 from tracklens.llm.simhash import SEED, WORDS
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -119,7 +120,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified-links")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def _fingerprint_links(texts: DataFrame) -> DataFrame:
+    """a, b: near copies among ``texts`` (cls, text) that their SimHash fingerprints find, of five-word shingles: one
+    text of each fingerprint with the others of it, and those of fingerprints that the multi-index search links."""
+    found = written(fingerprints(texts.select(F.col("cls").alias("doc_id"), "text"), SHINGLE).withColumnRenamed("doc_id", "cls"), "copy-prints")
+    firsts = written(found.groupBy("fp").agg(F.min("cls").alias("first")), "first-of-print")
+    alike = found.join(firsts, "fp").where("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
+    linked = fingerprint_links(firsts.select("fp"))
+    linked = linked.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    pairs = alike.unionByName(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return _verified(written(pairs, "print-pairs"), texts)
+
+
+def near_copies(docs: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     """cls, component for the classes of equal texts of ``docs`` (text) that are near copies of others:
     five-word shingles with a Jaccard similarity of at least 0.8, and what such links reach.
 
@@ -128,6 +141,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     groups of near copies make as many pairs as they have texts. Further rounds take other texts of the
     buckets that still hold several components. Of what such a round no longer settles, all pairs of
     different components are compared that share a shingle early enough (see _rest).
+
+    ``by_fingerprint``: the multi-index search of SimHash fingerprints comes first (see _fingerprint_links). It
+    joins most groups; what differs in too many bits for it, but not by too many shingles, is left to the bands.
     """
     texts = written(docs.select(text_class(F.col("text")).alias("cls"), "text").groupBy("cls").agg(F.min("text").alias("text")), "distinct-texts")
     sketches = written(_hashed(texts, bands), "bands")
@@ -135,6 +151,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     several = written(buckets.groupBy("bucket").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a < _b").select("bucket"), "shared-buckets")
     mixed = written(buckets.join(several, "bucket").withColumn("component", F.col("cls")), "shared-bands")
     links, before, turn = None, None, 0
+    if by_fingerprint:
+        links = _fingerprint_links(texts)
+        roots = written(components(links), "print-roots").withColumnRenamed("node", "cls").withColumnRenamed("component", "_root")
+        mixed = written(mixed.join(roots, "cls", "left").withColumn("component", F.coalesce("_root", "component")).select("bucket", "cls", "component"), "rooted-bands")
     while True:
         leaders = mixed.groupBy("bucket").agg(F.min_by(F.struct("cls", "component"), F.xxhash64(F.lit(turn), "cls")).alias("leader"))
         stars = mixed.join(written(leaders, "band-leaders"), "bucket").where("component != leader.component")
@@ -161,9 +181,10 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     with one, and stay where it has none. Texts without words are copies of each other."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class(F.col("text")).alias("cls"))
     classes = rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    rooted = written(classes.join(near_copies(docs), "cls", "left"), "copy-classes")
+    rooted = written(classes.join(near_copies(docs, by_fingerprint=True), "cls", "left"), "copy-classes")
     least = rooted.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("_least"))
     groups = rooted.where("component IS NOT NULL").join(least, "component").select(F.col("cls").alias("_cls"), "_least")
     groups = written(groups.unionByName(rooted.where("component IS NULL AND n > 1").select(F.col("cls").alias("_cls"), F.col("first").alias("_least"))), "copy-groups")
-    named = join_small(docs.withColumn("_own", text_class(F.col("text"))), groups, F.col("_own") == F.col("_cls"), "left", limit=1_000_000)
-    return named.where(F.col("_least").isNull() | F.col("doc_id").eqNullSafe(F.col("_least"))).drop("_own", "_cls", "_least")
+    own, cls, first = unused(docs, "own", "cls", "least")
+    named = join_small(docs.withColumn(own, text_class(F.col("text"))), groups.select(F.col("_cls").alias(cls), F.col("_least").alias(first)), F.col(own) == F.col(cls), "left", limit=1_000_000)
+    return named.where(F.col(first).isNull() | F.col("doc_id").eqNullSafe(F.col(first))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import join_small, running_total, word_count, written
+from tracklens.llm.common import join_small, running_total, unused, word_count, written
 
 #: Ranges of virtual time into which one unit of it (a source's whole target) is cut.
 RANGES = 4096
@@ -92,13 +92,26 @@ def mix(
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all columns. Rows
-    of one doc_id and size are taken alike (as often as the one that is taken most)."""
-    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
-    taken = mix(docs, weights, share, repeats, seed).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(copies).alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size"))
-    chosen = join_small(docs, written(taken, "mix-taken"), same, limit=1_000_000)
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all columns.
+
+    Where rows share doc_id and size and the mix takes some of them more often than others, they are numbered, and
+    the first of them are the ones that it takes more often. Null doc_ids are ids like any other here; rows
+    without words are never taken; an empty table gives none."""
+    own, size, entries, copies, row, place, number, copy = unused(docs, "id", "size", "entries", "copies", "row", "range", "number", "copy")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    each = mix(docs, weights, share, repeats, seed).groupBy(F.col("doc_id").alias(own), F.col("size").alias(size), times.alias("times")).agg(F.count("*").alias("rows"))
+    groups = each.groupBy(own, size).agg(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("order"), "rows"))).alias(entries))  # repeats + 1 at most
+    groups = written(groups.where(F.exists(entries, lambda x: x["order"] < 0)), "mix-taken")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (word_count(F.col("text")) == F.col(size))
+    alike = join_small(docs, groups.where(F.size(entries) == 1), same, limit=1_000_000).withColumn(copies, -F.col(entries)[0]["order"])
+    some = join_small(docs, groups.where(F.size(entries) > 1), same, limit=1_000_000).withColumn(row, F.monotonically_increasing_id())
+    some = written(some.withColumn(place, F.pmod(F.xxhash64(row), F.lit(1024)).cast("int")), "mix-repeated")
+    some = running_total(some, [own, size], place, [row], F.lit(1), number)
+    # The first entry whose rows, with those of the entries before it, reach the row's number.
+    reach = F.transform(entries, lambda x, i: F.struct(x["order"].alias("order"), F.aggregate(F.slice(entries, 1, i + 1), F.lit(0).cast("long"), lambda s, y: s + y["rows"]).alias("upto")))
+    some = some.withColumn(copies, -F.filter(reach, lambda x: x["upto"] >= F.col(number))[0]["order"])
+    chosen = alike.select(*docs.columns, copies).unionByName(some.select(*docs.columns, copies)).where(F.col(copies) > 0)
+    return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 #: The same rows in DuckDB, over a view ``documents``.

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import written
+from tracklens.llm.common import unused, written
 from tracklens.llm.words import STEP, Words, mixed, slices, sliding, sums, words
 
 #: Words of an anchor phrase.
@@ -265,9 +265,11 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with all its rows and columns, and texts without their repeated windows (see
-    remove_repeats): what is left is joined by one space. Texts that lose nothing stay as they are."""
+    remove_repeats): what is left is joined by one space. Texts that lose nothing stay as they are, null and
+    empty ones too; rows that repeat keep their number; an empty table gives none."""
     _, found = _located(docs, window, keep=True)
-    found = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("left").alias("_left"))
+    own1, own2, left = unused(docs, "k1", "k2", "left")
+    found = found.select(F.col("k1").alias(own1), F.col("k2").alias(own2), F.col("left").alias(left))
     k1, k2 = _keys()
-    joined = docs.join(found, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
-    return joined.select(*[F.coalesce("_left", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    joined = docs.join(found, (k1 == F.col(own1)) & (k2 == F.col(own2)), "left")
+    return joined.select(*[F.coalesce(left, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])

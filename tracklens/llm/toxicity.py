@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold != 0).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     total = known.count()
     share = min(1.0, fit_rows / max(1, total))
-    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
     drawn = join_small(docs.select("doc_id", "text"), known, F.col("doc_id") == F.col("_id"), limit=2 * fit_rows).select("toxic", "text")
 
     # Copies and near copies would make any word of theirs look telling: of equal texts and verified near
