@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.common import join_small, unused, written
 from tracklens.llm.graph import components
-from tracklens.llm.simhash import fingerprint_links, fingerprints
-from tracklens.llm.simhash import SEED, WORDS
+from tracklens.llm.simhash import SEED, WORDS, fingerprint_links, fingerprints
+from tracklens.llm.words import slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Taken off a bound on numbers of shingles before it is rounded up, as products of SIMILARITY are not exact.
@@ -65,8 +65,10 @@ def _hashed(texts: DataFrame, numbers: Callable[[np.ndarray], list[int]]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [numbers(shingles(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["cls", "hashes"])
+            for at, end in slices(batch.column(1)):
+                part = batch.slice(at, end - at)
+                found = [np.array(numbers(shingles(t.as_py())), dtype=np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["cls", "hashes"])
 
     return texts.select("cls", "text").mapInArrow(run, "cls long, hashes array<long>")
 
@@ -78,7 +80,7 @@ def _rare_first(texts: DataFrame, parts: DataFrame) -> DataFrame:
     Only places that a text as similar as SIMILARITY can share first are given: what two such texts have in
     common is more than what follows them. Shingles of one text only come first and are counted, not given.
     """
-    sets = written(_hashed(texts, lambda x: x.view(np.int64).tolist()), "shingle-sets")
+    sets = written(_hashed(texts, lambda x: x.view(np.int64)), "shingle-sets")
     each = sets.select("cls", F.explode("hashes").alias("shingle"))
     common = written(each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "common-shingles")
     held = each.join(common, "shingle").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("held"))  # those of one text
@@ -111,9 +113,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     some = written(join_small(texts, ends, F.col("cls") == F.col("_c"), "left_semi"), "compared-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = lru_cache(maxsize=256)(shingles)
+        cut = lru_cache(maxsize=64)(shingles)
         for batch in batches:
-            near = [similarity(cut(x), cut(y)) >= SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            near = [similarity(cut(x.as_py()), cut(y.as_py())) >= SIMILARITY for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(some.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")

@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(counts, known_words)
         for batch in batches:
-            texts = pa.array([decoder.restore(t or "") for t in batch.column(1).to_pylist()], pa.string())
+            texts = pa.array([decoder.restore(t.as_py() or "") for t in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["toxic", "text"])
 
     drawn = written(drawn.select("toxic", "text").mapInArrow(decoded, "toxic int, text string"), "restored-fit-rows")
@@ -219,8 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, seen = Counter(), 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    own = features(text)
+                for text in batch.column(0):
+                    own = features(text.as_py())
                     if not own & known:
                         found.update(own if wanted is None else own & wanted)
                         seen += 1
@@ -279,6 +279,6 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
