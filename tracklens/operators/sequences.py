@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.columns import track
-from tracklens.functions.ranks import counted
+from tracklens.functions.ranks import RANGES, counted
 from tracklens.operators.catalogue import _M, part_measures
 from tracklens.operators.feedback import _E, events
 from tracklens.plans.define import family
@@ -18,17 +19,20 @@ QUERIES, ORACLES, query = family()
 def global_sessions(log: DataFrame, gap_seconds: int) -> DataFrame:
     """session, started, ended, events: runs of ``log`` (ts) without a longer gap, whoever acts; rows without a time are left out.
 
-    Days are worked on apart: a day's first row is compared with the last one before it, which comes from one row for
-    each day, and so does the number of sessions before."""
-    log = log.where("ts IS NOT NULL").withColumn("day", F.to_date("ts"))
-    by_day = Window.orderBy("day")  # a row for each day
-    days = log.groupBy("day").agg(F.max("ts").alias("last")).select(F.col("day").alias("_day"), F.lag("last").over(by_day).alias("before"))
+    Rows of the same time are counted first. Times are cut into ranges of about equal numbers (cuts decide where
+    the work is done, not the result): the first of a range is compared with the last one before it, which comes from one row
+    for each range, and so does the number of sessions before."""
+    times = log.where("ts IS NOT NULL").groupBy("ts").agg(F.count("*").alias("k"))
+    cuts = times.agg(F.percentile_approx(F.unix_micros("ts"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))  # one row
+    ranged = times.crossJoin(F.broadcast(cuts)).withColumn("day", F.size(F.filter("_cuts", lambda x: x < F.unix_micros("ts")))).drop("_cuts")
+    by_day = Window.orderBy("day")  # a row for each range
+    days = ranged.groupBy("day").agg(F.max("ts").alias("last")).select(F.col("day").alias("_day"), F.lag("last").over(by_day).alias("before"))
     inside = Window.partitionBy("day").orderBy("ts")
     previous = F.coalesce(F.lag("ts").over(inside), F.col("before"))
     new = F.coalesce((F.unix_micros("ts") - F.unix_micros(previous) > gap_seconds * 1_000_000).cast("long"), F.lit(1))
-    marked = log.join(F.broadcast(days), F.col("day") == F.col("_day")).withColumn("new", new)
+    marked = ranged.join(F.broadcast(days), F.col("day") == F.col("_day")).withColumn("new", new)
     numbered = marked.withColumn("n", F.sum("new").over(inside))
-    parts = numbered.groupBy("day", "n").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
+    parts = numbered.groupBy("day", "n").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.sum("k").alias("events"))
     ahead = marked.groupBy("day").agg(F.sum("new").alias("k")).select(F.col("day").alias("_day"), F.coalesce(F.sum("k").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     placed = parts.join(F.broadcast(ahead), F.col("day") == F.col("_day")).withColumn("session", F.col("ahead") + F.col("n"))
     return placed.groupBy("session").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("events").alias("events"))
@@ -233,6 +237,44 @@ def retrain_days(spark, sf_dir):
     return days.select("day", "events", due.alias("retrain"))
 
 
+#: New events that make a training due, and seconds after which one is due anyway.
+DUE_EVENTS, DUE_AFTER = 50, 86_400
+
+
+def training_runs(log: DataFrame, poll_seconds: int, due_events: int = DUE_EVENTS, due_after: int = DUE_AFTER) -> DataFrame:
+    """polled, events, reason: the polls, one after every ``poll_seconds``, at which a training starts: DUE_EVENTS rows of ``log`` (ts) are
+    new since the last one, or DUE_AFTER seconds have gone by ('first' if there was none). Rows that are not
+    enough are carried on, and a run starts the count anew.
+
+    The log is counted for each poll first; only these counts, which grow with time and not with the log, are gone through in order."""
+    polls = log.where("ts IS NOT NULL").groupBy((F.floor(F.unix_micros("ts") / (poll_seconds * 1_000_000)) + 1).alias("poll")).agg(F.count("*").alias("n"))
+
+    def go(frame: pd.DataFrame) -> pd.DataFrame:
+        out, since, last = [], 0, None
+        counts = dict(zip(frame["poll"], frame["n"], strict=True))
+        for poll in range(min(counts), max(counts) + 1):
+            since += int(counts.get(poll, 0))
+            reason = "first" if last is None else "events" if since >= due_events else "time" if (poll - last) * poll_seconds >= due_after else None
+            if reason:
+                out.append((poll * poll_seconds, since, reason))
+                since, last = 0, poll
+        return pd.DataFrame(out, columns=["at", "events", "reason"])
+
+    found = polls.groupBy(F.lit(0).alias("all")).applyInPandas(go, "at long, events long, reason string")
+    return found.select(F.timestamp_seconds("at").cast("timestamp_ntz").alias("polled"), "events", "reason")
+
+
+@query(f"""WITH RECURSIVE {_E}, p AS (SELECT CAST(floor(epoch_us(ts) / 3600e6) AS BIGINT) + 1 AS poll, count(*) AS n FROM e GROUP BY 1), b AS (SELECT min(poll) AS lo, max(poll) AS hi FROM p),
+w AS (SELECT lo AS poll, n AS since, 'first' AS reason, lo AS last FROM b JOIN p ON poll = lo UNION ALL
+  SELECT poll, since, CASE WHEN since >= {DUE_EVENTS} THEN 'events' WHEN (poll - last) * 3600 >= {DUE_AFTER} THEN 'time' END, last FROM (
+    SELECT w.poll + 1 AS poll, CASE WHEN w.reason IS NULL THEN w.since ELSE 0 END + coalesce(p.n, 0) AS since, CASE WHEN w.reason IS NULL THEN w.last ELSE w.poll END AS last
+    FROM w JOIN b ON w.poll < hi LEFT JOIN p ON p.poll = w.poll + 1))
+SELECT make_timestamp(poll * 3600000000) AS polled, since AS events, reason FROM w WHERE reason IS NOT NULL""")
+def training_schedule(spark, sf_dir):
+    """The hours at which a training starts."""
+    return training_runs(events(spark, sf_dir), 3600)
+
+
 @query(f"WITH {_E} SELECT event_id, user_id, track, act FROM e WHERE act != 'play' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def activity_feed(spark, sf_dir):
     """The 100 latest events that are more than plays."""
