@@ -86,11 +86,24 @@ def filtered_ranges(spark, sf_dir):
     return rows.where(in_ranges(parse_filters("e>=3, c<4, bpm=100-150, p=1"))).select("track", "e", "m", "c", "features_json")
 
 
-@query("SELECT * FROM (VALUES ('bpm=120-140,e>3', 'e>=4,bpm=120-140'), ('e<3', 'e<=2'), ('c>=2-4,m=3', 'm=3,c=2-4'), ('p<=5,e>=1', 'e>=1,p<=5')) t(written, read_back)")
+def written_ranges(ranges: dict[str, tuple[Column, Column]]) -> Column:
+    """What format_filters writes, for ranges (low, high) that are columns; a dimension without a low is left out."""
+
+    def one(name: str, low: Column, high: Column) -> Column:
+        text = [F.concat(F.lit(f"{name}{sign}"), x.cast("string")) for sign, x in (("=", low), (">=", low), ("<=", high))]
+        both = F.concat(text[0], F.lit("-"), high.cast("string"))
+        return F.when(low == high, text[0]).when(high >= MOST, text[1]).when(low == 0, text[2]).when(low.isNotNull(), both)
+
+    return F.concat_ws(",", *[one(name, *ranges[name]) for name in DIMENSIONS if name in ranges])
+
+
+@query(f"""WITH {RATED} SELECT track, concat_ws(',', CASE WHEN e >= 4 THEN concat('e>=', e) WHEN e > 1 THEN concat('e=', e) END, concat('m<=', m), CASE WHEN c = 5 THEN 'c=5' ELSE concat('c=', c, '-5') END,
+  CASE WHEN size = 50 THEN 'bpm=110' ELSE concat('bpm=', 60 + size, '-110') END) AS written FROM r""")
 def filter_texts(spark, sf_dir):
-    """Filters read and written again, in the fixed order of their dimensions."""
-    texts = ["bpm=120-140,e>3", "e<3", "c>=2-4,m=3", "p<=5,e>=1"]
-    return spark.createDataFrame([(x, format_filters(parse_filters(x))) for x in texts], "written string, read_back string")
+    """For each track the filter that asks for tracks like it."""
+    high = F.when(F.col("e") >= 4, MOST).otherwise(F.col("e"))
+    ranges = {"e": (F.when(F.col("e") > 1, F.col("e")), high), "m": (F.lit(0), F.col("m")), "c": (F.col("c"), F.lit(5)), "bpm": (60 + F.col("size"), F.lit(110))}
+    return rated(spark, sf_dir).select("track", written_ranges(ranges).alias("written"))
 
 
 @query(f"WITH {RATED} SELECT track, e, m, c FROM r WHERE track % 11 != 0 AND track % 13 != 0")
@@ -109,10 +122,13 @@ def near_favourites(spark, sf_dir):
     return rows.crossJoin(F.broadcast(centre)).where(close).select("track", "e", "m", "c")
 
 
-@query("SELECT adventure, round(greatest(0.5::DOUBLE, 0.82::DOUBLE - 0.03::DOUBLE * adventure), 6) AS least, CASE WHEN ratings < 10 THEN 0.82::DOUBLE ELSE 0.75::DOUBLE END AS legacy FROM (SELECT i::BIGINT AS adventure, i * 3 AS ratings FROM range(0, 12) r(i))")
+@query("""SELECT user_id, user_id % 12 AS adventure, count(DISTINCT props) AS ratings, round(greatest(0.5::DOUBLE, 0.82::DOUBLE - 0.03::DOUBLE * (user_id % 12)), 6) AS least,
+CASE WHEN count(DISTINCT props) < 10 THEN 0.82::DOUBLE ELSE 0.75::DOUBLE END AS legacy FROM events GROUP BY user_id""")
 def similarity_cuts(spark, sf_dir):
-    """The least similarity that a station accepts at each level of adventure."""
-    return spark.range(12).select(F.col("id").alias("adventure"), F.round(F.greatest(F.lit(0.5), 0.82 - 0.03 * F.col("id")), 6).alias("least"), F.when(F.col("id") * 3 < 10, 0.82).otherwise(0.75).alias("legacy"))
+    """The least similarity that a listener's station accepts, by adventure, and where there is none by how much was rated."""
+    told = table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("props").alias("ratings")).withColumn("adventure", F.col("user_id") % 12)
+    least = F.round(F.greatest(F.lit(0.5), 0.82 - 0.03 * F.col("adventure")), 6)
+    return told.select("user_id", "adventure", "ratings", least.alias("least"), F.when(F.col("ratings") < 10, 0.82).otherwise(0.75).alias("legacy"))
 
 
 @query(f"WITH {RATED} SELECT track, title, size * 9000 AS duration_ms FROM r WHERE size * 9000 >= 180000 AND (contains(lower(title), 'blue') OR contains(lower(composer), 'blue')) AND e >= 3")

@@ -173,6 +173,12 @@ s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v,
 SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS INTEGER) AS place FROM s QUALIFY place <= 5"""
 
 
+def nearest_of_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 nearest of all vectors to each whose id is divisible by 100."""
+    rows = vectors(spark, sf_dir).select("vec_id", "v")
+    return neighbours(rows.where("vec_id % 100 = 0"), rows, 25).select("vec_id", "neighbour", "similarity", "place")
+
+
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How close the vectors of each label lie to its mean: the mean and the least cosine."""
     rows = vectors(spark, sf_dir)
@@ -199,6 +205,7 @@ QUERIES = {
     "recommend_favourites": recommend_favourites,
     "recommend_seed": recommend_seed,
     "nearest": nearest,
+    "nearest_of_hundredths": nearest_of_hundredths,
     "label_centroids": label_centroids,
     "norms": norms,
 }
@@ -206,6 +213,7 @@ ORACLES = {
     "recommend_favourites": FAVOURITES,
     "recommend_seed": SEED,
     "nearest": NEAREST,
+    "nearest_of_hundredths": NEAREST.replace("vec_id % 10 = 0", "vec_id % 100 = 0").replace("place <= 5", "place <= 25"),
     "label_centroids": CENTROIDS,
     "norms": NORMS,
 }
