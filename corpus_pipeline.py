@@ -16,8 +16,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates on word shingles: five words, Jaccard similarity of 0.8 at least, one of each group
-    stays. The fingerprints of operator 2 (four words, four bits) would leave most of them."""
+    """Operator 2, with five words and a check of the whole sets: fingerprints within four bits meet by its multi-index
+    search, pairs of a Jaccard similarity of 0.8 at least link, one document of each group stays. As such pairs often
+    differ in more bits, MinHash bands find what the fingerprints leave."""
     return copies.without_near_copies(docs)
 
 
