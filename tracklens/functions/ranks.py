@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges into which the values of a group are cut.
@@ -41,10 +41,13 @@ def counted(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """by, breaks: the quantiles ``shares`` of each group, between two values in proportion. One row for each group."""
     known = counted(rows, by, value)
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("total") - 1)).alias("h")) for i, q in enumerate(shares)]))
-    reached = known.withColumn("x", at).where("floor(x.h) < below + n AND ceil(x.h) >= below").select(*by, "x.*", value, "below", "n")
-    low = F.max(F.when((F.floor("h") >= F.col("below")) & (F.floor("h") < F.col("below") + F.col("n")), F.col(value)))
-    high = F.max(F.when((F.ceil("h") >= F.col("below")) & (F.ceil("h") < F.col("below") + F.col("n")), F.col(value)))
-    each = reached.groupBy(*by, "i", "h").agg(low.alias("_low"), high.alias("_high"))
-    each = each.withColumn("q", F.col("_low") + (F.col("h") - F.floor("h")) * (F.col("_high") - F.col("_low")))
-    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("breaks"))
+
+    def at(position: Column) -> Column:
+        """The value at a place (from 0) of the ordered rows: one row of a group knows it, and one aggregate finds all places."""
+        return F.max(F.when((position >= F.col("below")) & (position < F.col("below") + F.col("n")), F.col(value)))
+
+    places = [F.lit(q) * (F.col("total") - 1) for q in shares]
+    ends = [x for i, h in enumerate(places) for x in (at(F.floor(h)).alias(f"_low{i}"), at(F.ceil(h)).alias(f"_high{i}"))]
+    each = known.groupBy(*by).agg(F.max("total").alias("total"), *ends)
+    between = [F.col(f"_low{i}") + (h - F.floor(h)) * (F.col(f"_high{i}") - F.col(f"_low{i}")) for i, h in enumerate(places)]
+    return each.select(*by, F.array(*between).alias("breaks"))
