@@ -33,9 +33,8 @@ METRICS = {
 }
 
 
-def fit(persona: str) -> str:
-    """How well a track's ratings e, m, c fit a persona (0 to 1), as an SQL expression: 82% by metrics, 18% by nearness to the ratings aimed at."""
-    weights, targets = PERSONAS[persona]
+def fit_of(weights: dict, targets: dict) -> str:
+    """How well ratings e, m, c fit weighted metrics and the ratings aimed at (0 to 1), as an SQL expression: 82% by metrics, 18% by nearness."""
     part = {1: "({})", -1: "(1e0 - ({}))", 0: "0.5e0"}
     metrics = " + ".join(f"{part[way].format(METRICS[name])} * {weight}e0" for name, (weight, way) in weights.items())
     total = round(sum(weight for weight, _ in weights.values()), 6)
@@ -43,6 +42,11 @@ def fit(persona: str) -> str:
     return f"greatest(0e0, least(1e0, ({metrics}) / {total}e0 * 0.82e0 + (1e0 - ({away}) / 3e0) * 0.18e0))"
 
 
+def fit(persona: str) -> str:
+    """How well a track's ratings fit a persona, as an SQL expression."""
+    return fit_of(*PERSONAS[persona])
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """persona, track, score and ratings: one row for each track and persona, made without a shuffle."""
     fits = F.explode(F.array(*[F.struct(F.lit(p).alias("persona"), F.expr(fit(p)).alias("score")) for p in PERSONAS]))
