@@ -17,6 +17,8 @@ from tracklens.sources.tables import table
 CELL_ROWS, PIVOTS, PROBES = 8192, 1024, 4
 #: Rows of a cell, and queries, that one task compares.
 BLOCK = 16_384
+#: Rows up to which a table of blocks goes to every task.
+SENT = 100_000
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,8 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, cell_rows: int = CEL
 
     def compared(met: DataFrame) -> DataFrame:
         keys = ["cell", "block", "part"]
-        copies = held.join(F.broadcast(met.select(*keys).distinct()), ["cell", "block"]) if parts * len(split) <= PIVOTS else held.join(met.select(*keys).distinct(), ["cell", "block"])
+        wanted = met.select(*keys).distinct()  # no more than parts for each block of a cell
+        copies = held.join(F.broadcast(wanted) if parts * sum(split.values()) <= SENT else wanted, ["cell", "block"])
         met = met.toDF(*met.columns)  # both sides come from one table: columns of their own
         return met.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(lambda a, b: _best(a, b, k), "vec_id long, neighbour long, similarity double")
 
