@@ -68,6 +68,11 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
 
 
+def _of_length_one(rows: DataFrame) -> DataFrame:
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.withColumn("_n", F.greatest(norm, F.lit(1e-300))).withColumn("v", F.transform("v", lambda x: x / F.col("_n"))).drop("_n")
+
+
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best k of ``rows`` for each query, of those not below its floor; ties go to the smaller id."""
     found = [pd.DataFrame({"vec_id": [0][:0], "neighbour": [0][:0], "similarity": [0.0][:0]})]
@@ -113,12 +118,15 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, cell_rows: int = CEL
         for frame in frames:
             if len(frame):
                 x = _directions(frame["v"])
-                near = _angles(x, pivots) if pivots is not None else np.zeros((len(x), 1))
+                near = _angles(x, pivots)
                 cell = near.argmin(axis=1)
                 yield pd.DataFrame({"vec_id": frame["vec_id"], "v": list(x), "cell": cell, "angle": near[np.arange(len(x)), cell]})
 
-    held = kept(rows.select("vec_id", "v").mapInPandas(assign, "vec_id long, v array<double>, cell int, angle double"), "cells")
-    known = sorted(tuple(r) for r in held.groupBy("cell").agg(F.count("*"), F.max("angle")).collect())  # a row for each pivot
+    if pivots is None:  # one cell holds all, and all queries meet it
+        held, known = _of_length_one(rows.select("vec_id", "v")).withColumn("cell", F.lit(0)), [(0, count, 0.0)] if count else []
+    else:
+        held = kept(rows.select("vec_id", "v").mapInPandas(assign, "vec_id long, v array<double>, cell int, angle double"), "cells")
+        known = sorted(tuple(r) for r in held.groupBy("cell").agg(F.count("*"), F.max("angle")).collect())  # a row for each pivot
     name = np.array([c for c, _, _ in known], dtype=int)
     radius = np.array([a for _, _, a in known])
     split = {c: -(-n // BLOCK) for c, n, _ in known}
@@ -134,7 +142,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, cell_rows: int = CEL
                 for at in range(0, len(frame), 1024):
                     some = frame.iloc[at : at + 1024]
                     x = _directions(some["v"])
-                    near = _angles(x, pivots[name]) if pivots is not None else np.zeros((len(x), 1))
+                    near = _angles(x, pivots[name])
                     first = np.zeros(near.shape, dtype=bool)
                     np.put_along_axis(first, np.argsort(near, axis=1, kind="stable")[:, :PROBES], True, axis=1)
                     bound = np.cos(np.maximum(near - radius, 0.0))
@@ -142,7 +150,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, cell_rows: int = CEL
                     if len(q):
                         yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy()[q], "v": [x[i] for i in q], "floor": some["floor"].to_numpy(dtype=float)[q], "cell": name[c]})
 
-        met = asked.mapInPandas(run, "vec_id long, v array<double>, floor double, cell int")
+        met = asked.mapInPandas(run, "vec_id long, v array<double>, floor double, cell int") if pivots is not None else _of_length_one(asked).withColumn("cell", F.lit(0))
         met = met.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
         return met.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(parts)).cast("int"))
 
