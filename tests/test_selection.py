@@ -129,3 +129,20 @@ def test_build_is_reproducible():
     assert (graph == navigable.built(u)).all()
     assert all(len(set(row[row >= 0].tolist())) == (row >= 0).sum() for row in graph)
     assert navigable.built(u[:2]).tolist() == [[1, -1, -1], [0, -1, -1]]
+
+
+@pytest.mark.parametrize("spread", [0.1, 3.0])
+def test_neighbours_travel_in_few_pieces(spark, monkeypatch, spread):
+    """With many cells, slabs and parts the exact neighbours come out, and a task is given a part and a slab as bytes, not a row for each
+    query and cell."""
+    v = np.concatenate([clustered(spread=spread), clustered(spread=spread)[:5], np.zeros((2, 8))])
+    for name, value in (("BLOCK", 16), ("SLAB", 100), ("PART", 64)):
+        monkeypatch.setattr(vectors, name, value)
+    rows, s = table(spark, v), similarities(v)
+    for queries in (rows, rows.where("vec_id % 3 = 0")):
+        got = {(r.vec_id, r.neighbour, r.place) for r in vectors.neighbours(queries, rows, 6, cell_rows=40).collect()}
+        wanted = {r.vec_id for r in queries.collect()}
+        assert got == {x for x in plain_neighbours(s, 6) if x[0] in wanted}
+    own, x = np.arange(len(v)), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    best, names = vectors._best(own, x, np.full(len(v), -2.0), iter([(own[:200], x[:200], None, 0.0), (own[200:], x[200:], None, 0.0)]), 6)
+    assert {(i, int(j), n + 1) for i in range(len(v)) for n, j in enumerate(names[i])} == plain_neighbours(s, 6) and (best > -9).all()

@@ -59,7 +59,8 @@ def ndcg_of(edges: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nDCG@10 of the nearest neighbours by label; every three vectors in a row are one file, and its others don't count."""
     rows = vectors(spark, sf_dir).withColumn("file", F.floor(F.col("vec_id") / 3))
-    near = neighbours(rows.select("vec_id", "v"), rows.select("vec_id", "v"), 12).where("floor(vec_id / 3) != floor(neighbour / 3)")
+    own = rows.select("vec_id", "v")
+    near = neighbours(own, own, 12).where("floor(vec_id / 3) != floor(neighbour / 3)")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy("place"))
     return ndcg_of(near.withColumn("place", place).where("place <= 10"), rows.select("vec_id", "label", "file"), 10)
 

@@ -82,7 +82,8 @@ SELECT round(avg((label = other)::INT) FILTER (NOT sibling), 6) AS precision, ro
 def retrieval_lift(spark, sf_dir):
     """Of the ten nearest that are in another file, the share of the same label; what chance would give, from counts of pairs; and their ratio."""
     rows = vectors(spark, sf_dir).withColumn("file", F.floor(F.col("vec_id") / 3))
-    near = neighbours(rows.select("vec_id", "v"), rows.select("vec_id", "v"), 10).where("floor(vec_id / 3) != floor(neighbour / 3)")
+    own = rows.select("vec_id", "v")
+    near = neighbours(own, own, 10).where("floor(vec_id / 3) != floor(neighbour / 3)")
     found = near.join(rows.select("vec_id", "label"), "vec_id").join(rows.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("other")), "neighbour")
     pairs = lambda *by: rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("-".join(by) or "all"))
     counts = pairs("label").crossJoin(pairs("label", "file")).crossJoin(pairs()).crossJoin(pairs("file"))  # a row each
