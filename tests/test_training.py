@@ -56,3 +56,17 @@ def test_weights(spark):
     rows = labelled(spark)
     w = {r.i: r.weight for r in training.element_weights(rows).collect()}
     assert min(w[i] for i in range(4)) > 3 * max(w[i] for i in range(4, 12)) and sum(w.values()) == pytest.approx(12, abs=1e-6)
+
+
+def test_gates_search_once_and_leave_out_what_is_not_asked(spark, monkeypatch):
+    """The neighbours of the held-out anchors are sought once, for these alone, and no cluster where no diversity is asked for."""
+    asked, search = [], training.neighbours
+
+    def watched(queries, rows, k):
+        asked.append(queries.count())
+        return search(queries, rows, k)
+
+    monkeypatch.setattr(training, "neighbours", watched)
+    monkeypatch.setattr(training, "_diversity", lambda *_: pytest.fail("not asked for"))
+    found = training.challenger_gates(spark, "/root/testdata/sf0.001").collect()
+    assert {r.metric for r in found} == set(training.GATES) - {"diversity"} and asked == [spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 5 = 0").count()]
