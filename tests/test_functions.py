@@ -1,9 +1,13 @@
 """Column functions on small values worked out by hand."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracklens.functions import columns as C
+from tracklens.operators import catalogue
 from tracklens.sources.tables import CLASSIFICATIONS, FEEDBACK, json_lines
 
 
@@ -45,3 +49,25 @@ def test_json_lines(spark, tmp_path):
     rows = json_lines(spark, str(tmp_path), FEEDBACK).collect()
     assert sorted((r.sid_path or "", r._corrupt or "") for r in rows) == [("", "broken"), ("A", "")]
     assert "vector" in CLASSIFICATIONS
+
+
+def test_title_pairs_of_common_words(spark):
+    """A title inside another may share only a common word with it, and very common words alone join nothing; all against brute force."""
+    rng = np.random.default_rng(3)
+    words = ["art", "beta", "betamax", "gold", "golden", "night", "nightfall", "run", "star", "stars", "way", "zone"]
+    titles = ["art beta", "art betamax", "art one", "art two", "solo", "solo!", "solo four"] + [" ".join(rng.choice(words, size=int(rng.integers(1, 9)))) for _ in range(150)]
+
+    def split(title):
+        return sorted({w for w in re.split("[^a-z0-9]+", title) if len(w) > 1 and w not in C.STOP_WORDS})
+
+    def alike(a, b):
+        x, y = split(a), split(b)
+        if not set(x) & set(y):
+            return 0.0
+        s, t = sorted((" ".join(x), " ".join(y)), key=len)
+        return round(max(len(set(x) & set(y)) / len(set(x) | set(y)), len(s) / len(t) if len(s) >= 4 and s in t else 0.0), 6)
+
+    whole = sorted(set(titles))
+    wanted = {(a, b, alike(a, b)) for i, a in enumerate(whole) for b in whole[i + 1 :] if alike(a, b) >= 0.55}
+    got = catalogue.title_pairs(spark.createDataFrame([(t,) for t in titles], "title string"), 0.55).collect()
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted) and ("art beta", "art betamax", 0.727273) in wanted

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.columns import STOP_WORDS, title_similarity, tokens
+from tracklens.functions.kept import kept
 from tracklens.functions.ranks import counted, quantiles
 from tracklens.sources.tables import table
 
@@ -117,23 +118,52 @@ c AS (SELECT CASE WHEN count(*) FILTER (place <= 1) >= 60 THEN 1 WHEN count(*) F
 SELECT p.*, CAST(cap AS INTEGER) AS cap FROM p, c WHERE cap IS NULL OR place <= cap"""
 
 
-def title_pairs(titles: DataFrame, least: float) -> DataFrame:
-    """title, other, similarity >= ``least`` for pairs of ``titles`` (title): Jaccard of their words, or what share of the
-    longer the shorter makes up where it is contained in it (four characters at least).
+#: Words of a title that make a key together, at most.
+TOGETHER = 3
+
+
+def _subsets(words: Column, n: Column) -> Column:
+    """All sets of ``n`` (1 to TOGETHER) of a list of words, each in the list's order."""
+    after = lambda i: F.slice(words, i, F.greatest(F.size(words) - i + 1, F.lit(0)))
+    ones = F.transform(words, lambda x: F.array(x))
+    twos = F.flatten(F.transform(words, lambda x, i: F.transform(after(i + 2), lambda y: F.array(x, y))))
+    threes = F.flatten(F.flatten(F.transform(words, lambda x, i: F.transform(after(i + 2), lambda y, j: F.transform(after(i + j + 3), lambda z: F.array(x, y, z))))))
+    return F.when(n == 1, ones).when(n == 2, twos).otherwise(threes)
 
-    Only the rarest words of a title are joined (a prefix filter: of n words, all but least * n of the commonest), so
-    very common words join nothing; a title contained in another shares its rarest word too, as all of its words are in both.
+
+def title_pairs(titles: DataFrame, least: float) -> DataFrame:
+    """title, other, similarity >= ``least`` for pairs of ``titles`` (title) with a word in common: Jaccard of their words, or what share of
+    the longer the shorter makes up where it is contained in it (four characters at least).
+
+    1. Titles of a and b words are so similar only if they share c = least * (a + b) / (1 + least) words. Of the a - c + l rarest of a title
+       (the same order for all) l must then be shared, l up to TOGETHER: a key is the two numbers with l such words. Where c is
+       not above TOGETHER, what meets is similar, so very common words alone join nothing.
+    2. A title of y characters can make up so much only of one of x <= y / least, which then holds the first least * x of them: a key is x
+       with these. Each title gives as many keys as it has places for them.
     """
+    bound = least - 1e-6
     own = titles.select("title").distinct().withColumn("words", tokens(F.col("title"))).where(F.size("words") > 0)
+    own = kept(own, "titles")
     often = own.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     ranked = own.select("title", F.explode("words").alias("w")).join(often, "w")
-    ordered = ranked.groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("by"))
-    whole = own.join(ordered, "title").select("title", "words", F.transform("by", lambda x: x["w"]).alias("by"))
-    prefix = F.slice("by", 1, F.greatest(F.lit(1), F.size("by") - F.ceil(F.size("by") * least).cast("int") + 1))
-    short = whole.select("title", "words", F.explode(prefix).alias("w"))
-    every = whole.select(F.col("title").alias("other"), F.col("words").alias("others"), F.explode("by").alias("w"))
-    met = short.join(every, "w").where("title != other").select(F.least("title", "other").alias("title"), F.greatest("title", "other").alias("other"), "words", "others")
-    met = met.dropDuplicates(["title", "other"])
+    ordered = ranked.groupBy("title").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("by")).select("title", F.transform("by", lambda x: x["w"]).alias("by"), F.size("by").alias("a"))
+    sized = ordered.withColumn("b", F.explode(F.sequence(F.ceil(F.col("a") * bound).cast("int"), F.floor(F.col("a") / bound).cast("int"))))
+    sized = sized.withColumn("c", F.ceil((F.col("a") + F.col("b")) * (bound / (1 + bound)) - 1e-9).cast("int")).withColumn("l", F.least("c", F.lit(TOGETHER)))
+    rarest = F.slice("by", 1, F.col("a") - F.col("c") + F.col("l"))
+    keyed = kept(sized.select("title", "a", "b", F.explode(_subsets(rarest, F.col("l"))).alias("some")).select("title", "a", "b", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"), "some").alias("key")), "title-keys")
+    fewer, more = keyed.where("a <= b").select("key", "title", (F.col("a") == F.col("b")).alias("level")), keyed.where("a >= b").select("key", F.col("title").alias("other"))
+    alike = fewer.join(more, "key").where("title != other AND (NOT level OR title < other)").select("title", "other")
+
+    joined = own.select("title", F.array_join("words", " ").alias("text")).withColumn("long", F.length("text")).where("long >= 4")
+    wide = joined.withColumn("x", F.explode(F.sequence("long", F.floor(F.col("long") / bound).cast("int"))))
+    head = lambda x: F.ceil(x * bound).cast("int")
+    inner = wide.select("title", F.xxhash64("x", F.substring(F.col("text"), F.lit(1), head(F.col("x")))).alias("key"))
+    places = joined.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("long") - head(F.col("long")) + 1)))
+    outer = places.select(F.col("title").alias("other"), F.xxhash64("long", F.substring(F.col("text"), F.col("at"), head(F.col("long")))).alias("key"))
+    within = inner.join(outer, "key").where("title != other").select("title", "other")
+
+    met = alike.unionByName(within).select(F.least("title", "other").alias("title"), F.greatest("title", "other").alias("other")).distinct()
+    met = met.withColumns({"words": tokens(F.col("title")), "others": tokens(F.col("other"))}).where(F.arrays_overlap("words", "others"))
     return met.select("title", "other", F.round(title_similarity(F.col("words"), F.col("others")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
