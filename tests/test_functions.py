@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklens.functions import columns as C
-from tracklens.operators import catalogue
+from tracklens.operators import catalogue, joins
 from tracklens.sources.tables import CLASSIFICATIONS, FEEDBACK, json_lines
 
 
@@ -71,3 +71,12 @@ def test_title_pairs_of_common_words(spark):
     wanted = {(a, b, alike(a, b)) for i, a in enumerate(whole) for b in whole[i + 1 :] if alike(a, b) >= 0.55}
     got = catalogue.title_pairs(spark.createDataFrame([(t,) for t in titles], "title string"), 0.55).collect()
     assert {tuple(r) for r in got} == wanted and len(got) == len(wanted) and ("art beta", "art betamax", 0.727273) in wanted
+
+
+def test_first_pairs_are_found_without_sorting_all_pairs(spark):
+    """The session in which two tracks first make a pair is an aggregate of numbers; only what is found by it is looked at again."""
+    rows = [(f"2024-01-0{d} 00:00:00", u, t, k, f"2024-01-0{d} 00:00:{10 * t + k:02d}", 100 * u + t, 0.5 + k / 4) for d, u, t, k in ((1, -7, 1, 1), (1, -7, 2, 0), (1, 3, 1, 0), (1, 3, 2, 0), (2, 3, 1, 0), (2, 3, 3, 0), (2, 3, 3, 1))]
+    found = spark.createDataFrame(rows, "started string, user_id long, track long, kind int, ts string, event_id long, weight double").withColumns({c: F.col(c).cast("timestamp") for c in ("started", "ts")})
+    pairs = joins.training_pairs(found)
+    assert {(r.anchor, r.other, r.kind, r.weight, r.seq.user_id) for r in pairs.collect()} == {(2, 1, 1, 0.625, -7), (1, 3, 0, 0.5, 3)}
+    assert not re.search(r"SortAggregate\(key=\[(low|trackx)", pairs._jdf.queryExecution().executedPlan().toString())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.columns import action
+from tracklens.functions.kept import kept
 from tracklens.operators.catalogue import CALIBRATED, calibrated_ratings
 from tracklens.operators.feedback import _A, FEEDBACK_TOTALS, all_actions, feedback_totals
 from tracklens.operators.scalars import RATED, TRACKS, rated, tracks
@@ -81,13 +84,35 @@ def signals(log: DataFrame, gap_hours: int) -> DataFrame:
 
 def training_pairs(found: DataFrame) -> DataFrame:
     """low, high, anchor, other, kind, weight, seq for each two tracks of ``signals``: the first pair that they make, over sessions in
-    order, in each of them positives with positives first (kind 0), then positives with negatives (kind 1)."""
-    a = found.where("kind = 0").select("started", "user_id", F.col("track").alias("anchor"), F.struct("ts", "event_id").alias("i"), F.col("weight").alias("wa"))
-    b = found.select("started", "user_id", F.col("track").alias("other"), "kind", F.struct("ts", "event_id").alias("j"), F.col("weight").alias("wb"))
-    met = a.join(b, ["started", "user_id"]).where("anchor != other AND (kind = 1 OR i < j)")
-    seq = F.struct("started", "user_id", "kind", "i", "j")
-    rows = met.select(F.least("anchor", "other").alias("low"), F.greatest("anchor", "other").alias("high"), F.struct(seq.alias("seq"), "anchor", "other", "kind", F.least(F.lit(1.0), (F.col("wa") + F.col("wb")) / 2).alias("weight")).alias("x"))
-    return rows.groupBy("low", "high").agg(F.min("x").alias("x")).select("low", "high", "x.*")
+    order, in each of them positives with positives first (kind 0), then positives with negatives (kind 1).
+
+    The first session in which two tracks make a pair is found by a number that orders sessions, so this is an aggregate of numbers
+    that needs no sorting; what the pair is, is then worked out for that session only.
+    """
+    signal = F.struct("ts", "event_id", "weight")
+    wide = found.groupBy("started", "user_id", "track").agg(*[F.min(F.when(F.col("kind") == kind, signal)).alias(name) for kind, name in ((0, "p"), (1, "n"))])
+    # Users of one moment stay apart: their ids are less than 2e19 from each other.
+    order = F.unix_micros(F.col("started").cast("timestamp")).cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19)) + F.col("user_id").cast("decimal(19,0)")
+    wide = kept(wide.withColumn("session", order.cast("decimal(38,0)")), "signals")
+    x, y = (wide.select("session", *[F.col(c).alias(f"{c}{side}") for c in ("track", "p", "n")]) for side in "xy")
+
+    def pair(kind: int, i: str, j: str) -> Column:
+        """``i`` before ``j``, null where one is missing, and whether the greater track is the anchor."""
+        weight = F.least(F.lit(1.0), (F.col(f"{i}.weight") + F.col(f"{j}.weight")) / 2)
+        row = F.struct(F.lit(kind).alias("kind"), *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in ((i, "i"), (j, "j")) for c in ("ts", "event_id")], F.lit(i[1] == "y").alias("high_first"), weight.alias("weight"))
+        there = F.col(i).isNotNull() & F.col(j).isNotNull()
+        return F.when(there & (F.struct(f"{i}.ts", f"{i}.event_id") < F.struct(f"{j}.ts", f"{j}.event_id")) if kind == 0 else there, row)
+
+    best = F.least(pair(0, "px", "py"), pair(0, "py", "px"), pair(1, "px", "ny"), pair(1, "py", "nx"))
+    small = [side.select("session", f"track{i}", F.struct(f"p{i}.ts", f"p{i}.event_id").alias(f"k{i}"), *[F.col(f"{c}{i}").isNotNull().alias(f"{c}{i}") for c in "pn"]) for side, i in ((x, "x"), (y, "y"))]
+    met = small[0].join(small[1], "session").where("trackx < tracky AND (px AND py AND kx != ky OR px AND ny OR py AND nx)")
+    first = met.groupBy("trackx", "tracky").agg(F.min("session").alias("session"))
+    sessions = wide.select("session", "started", "user_id", F.col("track").alias("trackx"))
+    first = first.join(x, ["session", "trackx"]).join(y, ["session", "tracky"]).join(sessions, ["session", "trackx"])
+    first = first.select(F.col("trackx").alias("low"), F.col("tracky").alias("high"), "started", "user_id", best.alias("x")).select("low", "high", "started", "user_id", "x.*")
+    seq = F.struct("started", "user_id", "kind", *[F.struct(F.col(f"{n}_ts").alias("ts"), F.col(f"{n}_event_id").alias("event_id")).alias(n) for n in "ij"])
+    ends = [F.when(F.col("high_first"), F.col(a)).otherwise(F.col(b)) for a, b in (("high", "low"), ("low", "high"))]
+    return first.select("low", "high", seq.alias("seq"), ends[0].alias("anchor"), ends[1].alias("other"), "kind", "weight")
 
 
 _SIGNALS = f"""{_A}, n AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM a),
