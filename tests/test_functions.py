@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklens.functions import columns as C
-from tracklens.operators import catalogue, joins
+from tracklens.operators import catalogue, joins, styles
 from tracklens.sources.tables import CLASSIFICATIONS, FEEDBACK, json_lines
 
 
@@ -80,3 +80,12 @@ def test_first_pairs_are_found_without_sorting_all_pairs(spark):
     pairs = joins.training_pairs(found)
     assert {(r.anchor, r.other, r.kind, r.weight, r.seq.user_id) for r in pairs.collect()} == {(2, 1, 1, 0.625, -7), (1, 3, 0, 0.5, 3)}
     assert not re.search(r"SortAggregate\(key=\[(low|trackx)", pairs._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("total", [9, 20_000])
+def test_cut_of_open_positions(spark, monkeypatch, total):
+    """The position of the n-th open track by counted ranges, the last where there are fewer; no quantiles of a whole column are needed."""
+    monkeypatch.setattr(styles, "counted", lambda *_: pytest.fail("not needed"))
+    rows = spark.range(total).select(F.col("id").alias("p"), (F.col("id") % 3 == 1).alias("open"))
+    assert [styles._cut(rows, "open", "p", n, total) for n in (-1, 0, 1, 3)] == [-1, -1, 1, 7]
+    assert styles._cut(rows, "open", "p", total, total) >= total - 2 and styles._cut(rows, "false", "p", 1, total) == -1

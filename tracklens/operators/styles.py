@@ -13,6 +13,8 @@ from tracklens.plans.define import family
 
 QUERIES, ORACLES, query = family()
 
+#: Ranges of positions that are counted to find a cut.
+RANGES = 4096
 #: Personas that no track has both of.
 CONFLICTS = (("fast_paced", "slow_ambient"), ("melodic", "experimental"))
 
@@ -30,12 +32,20 @@ def positions(scored: DataFrame) -> DataFrame:
     return keyed.join(placed, ["persona", "key"]).select("persona", "track", (F.col("first") + same - 1).alias("position"))
 
 
-def _cut(rows: DataFrame, open_: str, position: str, missing: int) -> int:
-    """The position of the ``missing``-th of the tracks that are still open; -1 if none is wanted."""
+def _cut(rows: DataFrame, open_: str, position: str, missing: int, total: int) -> int:
+    """The position, of 0 to ``total`` - 1, of the ``missing``-th of the tracks that are still open (all, if fewer); -1 if none is wanted.
+    One pass counts ranges of positions (RANGES rows leave it), one looks into the range of the cut."""
     if missing <= 0:
         return -1
-    known = counted(rows.where(open_).select(F.col(position).alias("p")), [], "p")
-    return known.where(F.col("below") < missing).agg(F.max("p")).first()[0] if not known.isEmpty() else -1
+    places = rows.where(open_).where(F.col(position).isNotNull()).select(F.col(position).alias("p"))
+    step = max(1, -(-total // RANGES))
+    before = 0
+    # Positions are whole numbers below total and differ, so a range holds ``step`` of them at most.
+    for at, n in sorted(tuple(r) for r in places.groupBy(F.floor(F.col("p") / step).alias("at")).agg(F.count("*")).collect()):
+        if before + n >= missing:
+            return places.where((F.col("p") >= at * step) & (F.col("p") < (at + 1) * step)).orderBy("p").limit(missing - before).agg(F.max("p")).first()[0]
+        before += n
+    return total if before else -1
 
 
 def resolved(scored: DataFrame, conflicts=CONFLICTS, share: float = SHARE) -> DataFrame:
@@ -51,9 +61,9 @@ def resolved(scored: DataFrame, conflicts=CONFLICTS, share: float = SHARE) -> Da
         both = (F.col("lp") < target) & (F.col("rp") < target)
         wide = kept(wide.select("track", "lp", "rp", ((F.col("lp") < target) & ~(both & (F.col("lp") > F.col("rp")))).alias("lm"), ((F.col("rp") < target) & ~(both & (F.col("lp") <= F.col("rp")))).alias("rm")), "contested")
         had = wide.agg(F.sum(F.col("lm").cast("long")), F.sum(F.col("rm").cast("long"))).first()
-        cut = _cut(wide, "NOT lm AND NOT rm", "lp", target - (had[0] or 0))
+        cut = _cut(wide, "NOT lm AND NOT rm", "lp", target - (had[0] or 0), tracks)
         wide = wide.withColumn("lm", F.col("lm") | (~F.col("rm") & (F.col("lp") <= cut)))
-        cut = _cut(wide, "NOT lm AND NOT rm", "rp", target - (had[1] or 0))
+        cut = _cut(wide, "NOT lm AND NOT rm", "rp", target - (had[1] or 0), tracks)
         wide = wide.withColumn("rm", F.col("rm") | (~F.col("lm") & (F.col("rp") <= cut)))
         out += [wide.where(name).select(F.lit(p).alias("persona"), "track") for p, name in ((left, "lm"), (right, "rm"))]
     members = places.where(~F.col("persona").isin(*[p for pair in conflicts for p in pair]) & (F.col("position") < target)).select("persona", "track")
