@@ -146,3 +146,35 @@ def test_neighbours_travel_in_few_pieces(spark, monkeypatch, spread):
     own, x = np.arange(len(v)), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     best, names = vectors._best(own, x, np.full(len(v), -2.0), iter([(own[:200], x[:200], None, 0.0), (own[200:], x[200:], None, 0.0)]), 6)
     assert {(i, int(j), n + 1) for i in range(len(v)) for n, j in enumerate(names[i])} == plain_neighbours(s, 6) and (best > -9).all()
+
+
+def test_neighbours_come_one_block_at_a_time(spark, monkeypatch):
+    """Each part reads the table as a stream of blocks, in single precision where that says the same, and lists with vectors need no join."""
+    v = np.float32(clustered(spread=3.0)).astype(float)
+    v[-1] += 1e-9  # not in single precision
+    for name, value in (("BLOCK", 16), ("PART", 64)):
+        monkeypatch.setattr(vectors, name, value)
+    rows, s, seen = table(spark, v), similarities(v), []
+
+    def finish(own, sims, ids, near):
+        import pandas as pd
+
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.DataFrame({"vec_id": own, "ids": ids.tolist(), "same": np.abs(near - u[ids]).max(axis=(1, 2)) < 1e-12})
+
+    got = vectors.neighbours(rows, rows, 5, cell_rows=40, finish=finish, kind="vec_id long, ids array<long>, same boolean", carry=True).collect()
+    assert {(r.vec_id, j, n + 1) for r in got for n, j in enumerate(r.ids)} == plain_neighbours(s, 5) and all(r.same for r in got)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def blocks():
+        for at in range(0, len(u), 16):
+            seen.append(at)
+            yield np.arange(at, at + 16), u[at : at + 16], None, 0.0, v[at : at + 16]
+
+    held = []
+    best, names = vectors._best(np.arange(len(u)), u, np.full(len(u), -2.0), blocks(), 5, held)
+    assert {(i, int(j), n + 1) for i in range(len(u)) for n, j in enumerate(names[i])} == plain_neighbours(s, 5)
+    assert (held[0] == v[names]).all() and len(seen) == len(u) / 16
+    alike = np.ones((600, 4)) / 2  # equal vectors: the smallest ids
+    best, names = vectors._best(np.arange(600), alike, np.full(600, -2.0), iter([(np.arange(at, at + 200), alike[:200], None, 0.0) for at in (400, 0, 200)]), 3)
+    assert names[[0, 1, 599]].tolist() == [[1, 2, 3], [0, 2, 3], [0, 1, 2]] and (best == 1).all()

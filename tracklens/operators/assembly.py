@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklens.operators.catalogue import CALIBRATED, calibrated_ratings
 from tracklens.operators.feedback import FEEDBACK_TOTALS, feedback_totals
-from tracklens.operators.selection import _SIGNED, in_order, signed, units
+from tracklens.operators.selection import _SIGNED, signed
 from tracklens.operators.stations import MOODS
 from tracklens.operators.vectors import neighbours, vectors
 from tracklens.plans.define import family
@@ -29,17 +27,14 @@ def shortlists(rows: DataFrame, size: int = SHORTLIST) -> DataFrame:
     """vec_id, list: for each of ``rows`` (vec_id, v) its ``size`` nearest in order, as (place, id, s, between): similarity to
     the seed and to each of the list, in millionths. Lists are bounded, so each seed is a row and all are worked on at once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame["list"]:
-                v = np.stack([x["v"] for x in row])
-                between = np.rint(np.round(v @ v.T, 6) * 1e6).astype(np.int64)
-                out.append([{"place": i + 1, "id": x["id"], "s": round(x["similarity"] * 1e6), "between": between[i].tolist()} for i, x in enumerate(row)])
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "list": out})
-
-    near = neighbours(rows, rows, size).select("vec_id", "neighbour", "similarity")
-    return in_order(near, units(rows)).mapInPandas(run, "vec_id long, list array<struct<place int, id long, s long, between array<long>>>")
+    def listed(own: np.ndarray, sims: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        between, s = (np.rint(np.round(x, 6) * 1e6).astype(np.int64) for x in (v @ v.transpose(0, 2, 1), sims))
+        many = (sims > -9).sum(axis=1).tolist()
+        lists = [[{"place": c + 1, "id": ids[i, c], "s": s[i, c], "between": between[i, c, :n].tolist()} for c in range(n)] for i, n in enumerate(many)]
+        some = np.flatnonzero(many)
+        return pd.DataFrame({"vec_id": own[some], "list": [lists[i] for i in some]})
+
+    return neighbours(rows, rows, size, finish=listed, kind="vec_id long, list array<struct<place int, id long, s long, between array<long>>>", carry=True)
 
 
 def _exploded(chosen: Column, rows: DataFrame) -> DataFrame:
