@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklens.llm import copies, mixing, phrases, pieces, toxicity
-from tracklens.llm.common import written
+from tracklens.llm.common import scratch, written
 from tracklens.llm.queries import piece_model, table
 
 #: Trained models, decoders and tokenizers have no SQL; tests hold the stages against brute force.
@@ -12,7 +12,9 @@ ORACLE_SQL = None
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents whose restored text scores as toxic go."""
-    return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    with scratch(spark):
+        model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

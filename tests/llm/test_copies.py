@@ -59,3 +59,25 @@ def test_alike_but_not_near(spark):
     texts = docs.select(copies.text_class(F.col("text")).alias("cls"), "text")
     pairs = copies._rest(texts, texts.select("cls", F.col("cls").alias("component"))).collect()
     assert 2 <= len(pairs) <= 20
+
+
+def test_tables_of_a_stage_go(spark):
+    """What a stage wrote is removed but for what its result is read from."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from tracklens.llm import common
+
+    def there():
+        folder = Path(common.shared_dir(spark).removeprefix("file:")) / "tracklens"
+        return {p.name.rsplit("-", 1)[0] for p in folder.iterdir()} if folder.exists() else set()
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} own{i % 3} {'x ' * i}") for i in range(12)], "doc_id long, text string")
+    common.written(docs.limit(0), "first")
+    before = there()
+    near = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert there() - before <= {"copy-groups"} and 0 < near.count() < 12
+    before = there()
+    cut = corpus_pipeline.substrings(spark, docs, "")
+    assert there() - before <= {"located"} and cut.count() == 12

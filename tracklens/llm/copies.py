@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import join_small, unused, written
+from tracklens.llm.common import join_small, scratch, unused, written
 from tracklens.llm.graph import components
 from tracklens.llm.simhash import SEED, WORDS, fingerprint_links, fingerprints
 from tracklens.llm.words import slices
@@ -97,7 +97,8 @@ def _rest(texts: DataFrame, parts: DataFrame) -> DataFrame:
     stands so early in both that enough shingles follow it. Texts that are alike but each have an edit of their own
     share no shingle that early, so a large group of such texts makes no pairs.
     """
-    first = written(_rare_first(texts, parts), "rare-shingles")
+    with scratch(texts.sparkSession):
+        first = written(_rare_first(texts, parts), "rare-shingles", stays=True)
     needed = F.ceil((F.col("x.n") + F.col("y.n")) * (SIMILARITY / (1 + SIMILARITY)) - SLACK)
     shorter = first.where(F.col("n") - F.col("at") >= F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - SLACK))
     order = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.cls") < F.col("x.cls")))
@@ -109,29 +110,32 @@ def _rest(texts: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of classes whose texts are similar enough, from their whole sets of shingles."""
-    ends = written(pairs.select(F.col("a").alias("_c")).unionByName(pairs.select(F.col("b").alias("_c"))).distinct(), "compared-classes")
-    some = written(join_small(texts, ends, F.col("cls") == F.col("_c"), "left_semi"), "compared-texts")
+    with scratch(texts.sparkSession):
+        ends = written(pairs.select(F.col("a").alias("_c")).unionByName(pairs.select(F.col("b").alias("_c"))).distinct(), "compared-classes")
+        some = written(join_small(texts, ends, F.col("cls") == F.col("_c"), "left_semi"), "compared-texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = lru_cache(maxsize=64)(shingles)
-        for batch in batches:
-            near = [similarity(cut(x.as_py()), cut(y.as_py())) >= SIMILARITY for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cut = lru_cache(maxsize=64)(shingles)
+            for batch in batches:
+                near = [similarity(cut(x.as_py()), cut(y.as_py())) >= SIMILARITY for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    both = pairs.join(some.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified-links")
+        both = pairs.join(some.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified-links", stays=True)
 
 
 def _fingerprint_links(texts: DataFrame) -> DataFrame:
     """a, b: near copies among ``texts`` (cls, text) that their SimHash fingerprints find, of five-word shingles: one
     text of each fingerprint with the others of it, and those of fingerprints that the multi-index search links."""
-    found = written(fingerprints(texts.select(F.col("cls").alias("doc_id"), "text"), SHINGLE).withColumnRenamed("doc_id", "cls"), "copy-prints")
-    firsts = written(found.groupBy("fp").agg(F.min("cls").alias("first")), "first-of-print")
-    alike = found.join(firsts, "fp").where("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
-    linked = fingerprint_links(firsts.select("fp"))
-    linked = linked.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    pairs = alike.unionByName(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return _verified(written(pairs, "print-pairs"), texts)
+    with scratch(texts.sparkSession):
+        found = written(fingerprints(texts.select(F.col("cls").alias("doc_id"), "text"), SHINGLE).withColumnRenamed("doc_id", "cls"), "copy-prints")
+        firsts = written(found.groupBy("fp").agg(F.min("cls").alias("first")), "first-of-print")
+        alike = found.join(firsts, "fp").where("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
+        linked = fingerprint_links(firsts.select("fp"))
+        linked = linked.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        pairs = alike.unionByName(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        pairs = written(pairs, "print-pairs", stays=True)
+    return _verified(pairs, texts)
 
 
 def near_copies(docs: DataFrame, by_fingerprint: bool = False) -> DataFrame:
@@ -147,46 +151,49 @@ def near_copies(docs: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     ``by_fingerprint``: the multi-index search of SimHash fingerprints comes first (see _fingerprint_links). It
     joins most groups; what differs in too many bits for it, but not by too many shingles, is left to the bands.
     """
-    texts = written(docs.select(text_class(F.col("text")).alias("cls"), "text").groupBy("cls").agg(F.min("text").alias("text")), "distinct-texts")
-    sketches = written(_hashed(texts, bands), "bands")
-    buckets = sketches.select("cls", F.explode("hashes").alias("bucket"))
-    several = written(buckets.groupBy("bucket").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a < _b").select("bucket"), "shared-buckets")
-    mixed = written(buckets.join(several, "bucket").withColumn("component", F.col("cls")), "shared-bands")
-    links, before, turn = None, None, 0
-    if by_fingerprint:
-        links = _fingerprint_links(texts)
-        roots = written(components(links), "print-roots").withColumnRenamed("node", "cls").withColumnRenamed("component", "_root")
-        mixed = written(mixed.join(roots, "cls", "left").withColumn("component", F.coalesce("_root", "component")).select("bucket", "cls", "component"), "rooted-bands")
-    while True:
-        leaders = mixed.groupBy("bucket").agg(F.min_by(F.struct("cls", "component"), F.xxhash64(F.lit(turn), "cls")).alias("leader"))
-        stars = mixed.join(written(leaders, "band-leaders"), "bucket").where("component != leader.component")
-        found = _verified(written(stars.select(F.least("leader.cls", "cls").alias("a"), F.greatest("leader.cls", "cls").alias("b")).distinct(), "star-pairs"), texts)
-        links = found if links is None else written(links.unionByName(found), "links-so-far")
-        roots = written(components(links), "star-roots")
-        rooted = mixed.drop("component").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        rooted = written(rooted.select("bucket", "cls", "component"), "rooted-bands")
-        several = rooted.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("bucket")
-        mixed = written(rooted.join(written(several, "mixed-buckets"), "bucket"), "mixed-bands")
-        left = mixed.count()
-        if not left or (before is not None and left > WORTH * before):
-            break
-        before, turn = left, turn + 1
-    parts = written(mixed.select("cls", "component").distinct(), "mixed-classes")
-    open_texts = join_small(texts, parts.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left_semi")
-    more = _verified(written(_rest(open_texts, parts), "rest-pairs"), texts)
-    return components(links.unionByName(more)).select(F.col("node").alias("cls"), "component")
+    with scratch(docs.sparkSession):
+        texts = written(docs.select(text_class(F.col("text")).alias("cls"), "text").groupBy("cls").agg(F.min("text").alias("text")), "distinct-texts")
+        sketches = written(_hashed(texts, bands), "bands")
+        buckets = sketches.select("cls", F.explode("hashes").alias("bucket"))
+        several = written(buckets.groupBy("bucket").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a < _b").select("bucket"), "shared-buckets")
+        mixed = written(buckets.join(several, "bucket").withColumn("component", F.col("cls")), "shared-bands")
+        links, before, turn = None, None, 0
+        if by_fingerprint:
+            links = _fingerprint_links(texts)
+            roots = written(components(links), "print-roots").withColumnRenamed("node", "cls").withColumnRenamed("component", "_root")
+            mixed = written(mixed.join(roots, "cls", "left").withColumn("component", F.coalesce("_root", "component")).select("bucket", "cls", "component"), "rooted-bands")
+        while True:
+            with scratch(docs.sparkSession):
+                leaders = mixed.groupBy("bucket").agg(F.min_by(F.struct("cls", "component"), F.xxhash64(F.lit(turn), "cls")).alias("leader"))
+                stars = mixed.join(written(leaders, "band-leaders"), "bucket").where("component != leader.component")
+                found = _verified(written(stars.select(F.least("leader.cls", "cls").alias("a"), F.greatest("leader.cls", "cls").alias("b")).distinct(), "star-pairs"), texts)
+                links = written(found if links is None else links.unionByName(found), "links-so-far", stays=True)
+                roots = written(components(links), "star-roots")
+                rooted = mixed.drop("component").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+                rooted = written(rooted.select("bucket", "cls", "component"), "rooted-bands")
+                several = rooted.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("bucket")
+                mixed = written(rooted.join(written(several, "mixed-buckets"), "bucket"), "mixed-bands", stays=True)
+                left = mixed.count()
+            if not left or (before is not None and left > WORTH * before):
+                break
+            before, turn = left, turn + 1
+        parts = written(mixed.select("cls", "component").distinct(), "mixed-classes")
+        open_texts = join_small(texts, parts.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left_semi")
+        more = _verified(written(_rest(open_texts, parts), "rest-pairs"), texts)
+        return written(components(links.unionByName(more)).select(F.col("node").alias("cls"), "component"), "near-copies", stays=True)
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies (see near_copies): the one of least
     doc_id. Rows that repeat its doc_id stay; rows without a doc_id go where the group has a document
     with one, and stay where it has none. Texts without words are copies of each other."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class(F.col("text")).alias("cls"))
-    classes = rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    rooted = written(classes.join(near_copies(docs, by_fingerprint=True), "cls", "left"), "copy-classes")
-    least = rooted.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("_least"))
-    groups = rooted.where("component IS NOT NULL").join(least, "component").select(F.col("cls").alias("_cls"), "_least")
-    groups = written(groups.unionByName(rooted.where("component IS NULL AND n > 1").select(F.col("cls").alias("_cls"), F.col("first").alias("_least"))), "copy-groups")
+    with scratch(docs.sparkSession):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class(F.col("text")).alias("cls"))
+        classes = rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        rooted = written(classes.join(near_copies(docs, by_fingerprint=True), "cls", "left"), "copy-classes")
+        least = rooted.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("_least"))
+        groups = rooted.where("component IS NOT NULL").join(least, "component").select(F.col("cls").alias("_cls"), "_least")
+        groups = written(groups.unionByName(rooted.where("component IS NULL AND n > 1").select(F.col("cls").alias("_cls"), F.col("first").alias("_least"))), "copy-groups", stays=True)
     own, cls, first = unused(docs, "own", "cls", "least")
     named = join_small(docs.withColumn(own, text_class(F.col("text"))), groups.select(F.col("_cls").alias(cls), F.col("_least").alias(first)), F.col(own) == F.col(cls), "left", limit=1_000_000)
     return named.where(F.col(first).isNull() | F.col("doc_id").eqNullSafe(F.col(first))).select(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import unused, written
+from tracklens.llm.common import scratch, unused, written
 from tracklens.llm.words import STEP, Words, mixed, slices, sliding, sums, words
 
 #: Words of an anchor phrase.
@@ -195,48 +195,49 @@ def _keys() -> list[Column]:
 
 def _located(docs: DataFrame, window: int, keep: bool) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` with keys and digests, and what each text with repeats loses: k1, k2,
-    n_removed, sha and, if it is to be kept, what is left."""
+    n_removed, sha and, if it is to be kept, what is left (the rows can't be read then)."""
     if window < 2 * ANCHOR:
         raise ValueError(f"a window has at least {2 * ANCHOR} words")
-    rows = written(_texts(docs, window), "texts")
-    one = [F.count("*").alias("copies"), F.first("anchors").alias("anchors")]
-    choices = written(rows.where("size(anchors) > 0").groupBy("k1", "k2").agg(*one), "text-anchors")
-    weighed = choices.select("copies", F.explode("anchors").alias("anchor"))
-    recurring = written(weighed.groupBy("anchor").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor"), "recurring-anchors")
-    chosen = choices.select("k1", "k2", "copies", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    mine = chosen.join(recurring, "anchor").groupBy("k1", "k2").agg(F.first("copies").alias("copies"), F.collect_list("anchor").alias("anchors"))
-    once = docs.select(*_keys(), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    texts = written(once.join(mine, ["k1", "k2"]), "repeating-texts")
-
-    counted = _windows(texts, window).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
-    owned = counted.where("n > 1").groupBy("owner").agg(F.collect_list("h1").alias("windows"))
-    owners = texts.select("k1", "text").join(owned, F.col("k1") == F.col("owner"))
-    pieces = _pieces(owners, window).withColumn("id", F.xxhash64("piece")).dropDuplicates(["id", "piece"])
-    pieces = written(pieces, "recurring-passages")
-
-    shards = max(8, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
-    shard = F.pmod("k1", F.lit(shards)).cast("int").alias("shard")
-    wanted = texts.select(shard, F.explode("anchors").alias("anchor")).distinct()
-    sent = pieces.select("id", F.explode("anchors").alias("anchor")).join(wanted, "anchor").select("shard", "id").distinct()
-    patterns = sent.join(pieces.select("id", "piece"), "id").select("shard", "piece")
-
-    def locate(own: pa.Table, passages: pa.Table) -> pa.Table:
-        compiled, out = Passages(pa.concat_arrays(passages["piece"].chunks) if len(passages) else pa.array([], pa.string()), window), []
-        for chunk in own.to_batches():
-            for at, end in slices(chunk.column("text")):
-                part = chunk.slice(at, end - at)
-                found = words(part.column("text"))
-                gone = compiled.covered(found)
-                for k1, k2, a, b in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), found.first.tolist(), found.first[1:].tolist(), strict=False):
-                    if removed := int(gone[a:b].sum()):
-                        change = np.flatnonzero(np.diff(np.concatenate(([True], gone[a:b], [True])))) + a
-                        left = b" ".join(found.span(x, y) for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True))
-                        out.append((k1, k2, removed, hashlib.sha256(left).hexdigest(), left.decode("utf-8") if keep else None))
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["k1", "k2", "n_removed", "sha", "left"])
-
-    found = texts.select(shard, "k1", "k2", "text").groupBy("shard").cogroup(patterns.groupBy("shard"))
-    return rows, written(found.applyInArrow(locate, "k1 long, k2 long, n_removed long, sha string, left string"), "located")
+    with scratch(docs.sparkSession):
+        rows = written(_texts(docs, window), "texts", stays=not keep)
+        one = [F.count("*").alias("copies"), F.first("anchors").alias("anchors")]
+        choices = written(rows.where("size(anchors) > 0").groupBy("k1", "k2").agg(*one), "text-anchors")
+        weighed = choices.select("copies", F.explode("anchors").alias("anchor"))
+        recurring = written(weighed.groupBy("anchor").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor"), "recurring-anchors")
+        chosen = choices.select("k1", "k2", "copies", F.explode(F.array_distinct("anchors")).alias("anchor"))
+        mine = chosen.join(recurring, "anchor").groupBy("k1", "k2").agg(F.first("copies").alias("copies"), F.collect_list("anchor").alias("anchors"))
+        once = docs.select(*_keys(), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+        texts = written(once.join(mine, ["k1", "k2"]), "repeating-texts")
+
+        counted = _windows(texts, window).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
+        owned = counted.where("n > 1").groupBy("owner").agg(F.collect_list("h1").alias("windows"))
+        owners = texts.select("k1", "text").join(owned, F.col("k1") == F.col("owner"))
+        pieces = _pieces(owners, window).withColumn("id", F.xxhash64("piece")).dropDuplicates(["id", "piece"])
+        pieces = written(pieces, "recurring-passages")
+
+        shards = max(8, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+        shard = F.pmod("k1", F.lit(shards)).cast("int").alias("shard")
+        wanted = texts.select(shard, F.explode("anchors").alias("anchor")).distinct()
+        sent = pieces.select("id", F.explode("anchors").alias("anchor")).join(wanted, "anchor").select("shard", "id").distinct()
+        patterns = sent.join(pieces.select("id", "piece"), "id").select("shard", "piece")
+
+        def locate(own: pa.Table, passages: pa.Table) -> pa.Table:
+            compiled, out = Passages(pa.concat_arrays(passages["piece"].chunks) if len(passages) else pa.array([], pa.string()), window), []
+            for chunk in own.to_batches():
+                for at, end in slices(chunk.column("text")):
+                    part = chunk.slice(at, end - at)
+                    found = words(part.column("text"))
+                    gone = compiled.covered(found)
+                    for k1, k2, a, b in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), found.first.tolist(), found.first[1:].tolist(), strict=False):
+                        if removed := int(gone[a:b].sum()):
+                            change = np.flatnonzero(np.diff(np.concatenate(([True], gone[a:b], [True])))) + a
+                            left = b" ".join(found.span(x, y) for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True))
+                            out.append((k1, k2, removed, hashlib.sha256(left).hexdigest(), left.decode("utf-8") if keep else None))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["k1", "k2", "n_removed", "sha", "left"])
+
+        found = texts.select(shard, "k1", "k2", "text").groupBy("shard").cogroup(patterns.groupBy("shard"))
+        return rows, written(found.applyInArrow(locate, "k1 long, k2 long, n_removed long, sha string, left string"), "located", stays=True)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
