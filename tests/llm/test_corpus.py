@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -257,3 +258,19 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == columns
     assert docs.count() > 0
+
+
+def test_pipeline_hands_over_few_documents_at_once(spark):
+    """In a stage of the pipeline a Python worker is given few documents at a time, not thousands."""
+    import corpus_pipeline
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.substrings):
+        try:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+            assert stage(spark, docs, "").count() == 3000
+            rows = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+            assert max(r.n for r in rows.collect()) <= corpus_pipeline.BATCH_ROWS
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
