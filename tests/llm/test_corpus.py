@@ -231,6 +231,34 @@ def test_edited_images(spark):
     assert group[None] is None and all(group[i] == i for i in (90, 91, 92, 93, 94, 95, 96)) and group[97] == 96
 
 
+def test_every_copy_of_a_bucket_is_compared(spark):
+    """Pictures of one bucket are compared all with all, whatever their number and order; equal ones count as links."""
+    whole = images.render("one")
+    crops = [whole[y : y + 56, x : x + 56] for y in range(7) for x in range(7)]
+    corners = images.described(np.stack(crops))
+    a, b = np.triu_indices(len(crops), 1)
+    linked = np.array([images.agreement(corners[i], corners[j]) >= images.AGREEING for i, j in zip(a, b, strict=True)])
+    expected = np.bincount(np.concatenate([a[linked], b[linked]]), minlength=len(crops)).tolist()
+    assert min(expected) > images.BUCKET  # more than a bucket's neighbours
+    got = {r.id: (r.component_id, r.n_links) for r in images.copies(spark.createDataFrame([(i, 56, crop.tobytes()) for i, crop in enumerate(crops)], "id long, width int, pixels binary")).collect()}
+    assert got == {i: (0, n) for i, n in enumerate(expected)}
+    names = {7: 0, 8: 1, 9: 2, 10: 3}
+    table = spark.createDataFrame([(p, corners[i].tobytes()) for p, i in names.items()], "p long, corners binary")
+    buckets = spark.createDataFrame([(1, [9, 7, 10, 8]), (2, [10, 9, 8, 7]), (3, [7, 8])], "key long, ps array<long>")
+    for bucket, side in ((32, 512), (2, 512), (2, 1), (2, 3)):
+        assert sorted(map(tuple, images._linked(buckets, table, images.DISTANCE, images.AGREEING, bucket, side).collect())) == [(7, 8), (7, 9), (7, 10), (8, 9), (8, 10), (9, 10)], (bucket, side)
+
+
+def test_strangers_that_share_one_shape(spark):
+    """Matches that lie in one or two places are one shape at several scales and make no link."""
+    corners = np.zeros(6, dtype=images.CORNER)
+    corners["bits"] = np.random.default_rng(1).integers(0, 256, corners["bits"].shape)
+    corners["y"], corners["x"] = np.array([80, 88, 80, 240, 248, 240]), np.array([80, 80, 88, 240, 240, 248])
+    assert images.agreement(corners, corners) == 0
+    corners["x"][5] = 400
+    assert images.agreement(corners, corners) == 6
+
+
 def test_toxicity(spark):
     draw = random.Random(5)
     words = ["the", "stone", "under", "water", "moves", "slowly", "because", "rivers", "bend", "again", "mountain", "letter"]
