@@ -78,3 +78,16 @@ def test_buckets_are_left_out(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     assert sorted(map(tuple, negatives.hard_negatives(table, F.col("vec_id") == 0).collect())) == slow(rows, lambda i: i == 0)
     assert sum(n for first, _, n in sent if first > 1) == 0 < len([s for s in sent if s[0] > 1])
+
+
+def test_plans_grow_with_the_buckets(spark, monkeypatch):
+    """A condition on the block must not hold the expressions of all buckets once for each of them: the driver keeps and compiles it."""
+    monkeypatch.setattr(negatives, "BLOCK", 16)
+    size = {}
+    for buckets in (4, 64):
+        rows = spark.range(16 * buckets).select(F.col("id").alias("uid"), F.sqrt("id").alias("norm"))
+        space = negatives.NormBuckets(rows)
+        assert len(space.known) == buckets and sum(members for _, members, _ in space.known) == 16 * buckets
+        assert [top for _, _, top in space.known] == sorted((top for _, _, top in space.known), reverse=True)
+        size[buckets] = len(space.rows.where("bucket IS NOT NULL AND block IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString())
+    assert size[64] < 16 * size[4]

@@ -101,6 +101,14 @@ def waves(count: int) -> list[tuple[int, int]]:
     return out
 
 
+def _cuts_above(norm: Column, cuts: list[float], low: int, high: int) -> Column:
+    """How many of the falling ``cuts`` are above ``norm``, known to be from ``low`` to ``high``: halved, so that a row sees few of them."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(norm < F.lit(cuts[middle]), _cuts_above(norm, cuts, middle + 1, high)).otherwise(_cuts_above(norm, cuts, low, middle))
+
+
 class NormBuckets:
     """``rows`` (uid, vec_id, label, v, norm; a written table) in buckets of falling norm.
 
@@ -114,13 +122,12 @@ class NormBuckets:
         wanted = max(1, min(BUCKETS, count // BLOCK))
         cuts = rows.select(F.percentile_approx("norm", [1 - i / wanted for i in range(1, wanted)] or [0.5], 10_000)).first()[0] if count else None
         cuts = sorted(set(cuts or []), reverse=True) if wanted > 1 else []
-        bucket = sum((F.when(F.col("norm") < F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-        self.rows = rows.withColumn("bucket", bucket)
+        self.rows = rows.withColumn("bucket", _cuts_above(F.col("norm"), cuts, 0, len(cuts)))
         self.known = sorted(tuple(r) for r in self.rows.groupBy("bucket").agg(F.count("*"), F.max("norm")).collect())
-        blocks = F.lit(1)
-        for number, members, _ in self.known:
-            blocks = F.when(F.col("bucket") == number, ceil(members / BLOCK)).otherwise(blocks)
-        self.rows = self.rows.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
+        blocks = {number: ceil(members / BLOCK) for number, members, _ in self.known}
+        # An array and not a case for each bucket: Spark repeats the bucket's expression wherever a condition on the block names it.
+        counts = F.lit([blocks.get(number, 1) for number in range(len(cuts) + 1)])
+        self.rows = self.rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.element_at(counts, F.col("bucket") + 1)).cast("int"))
 
     def wave(self, anchors: DataFrame, first: int, end: int, needs: Column, search, k: int) -> DataFrame:
         """What ``search`` finds for the anchors in the buckets of place ``first`` to ``end``.
